@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, jaccard, langid, mixing
 
 QUERIES = {
+    "op2_langid": langid.op2_langid,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op5_jaccard": jaccard.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
