@@ -1 +1 @@
-
+"""Column functions with the dialect's semantics."""

@@ -1 +1 @@
-
+"""Relational operators over scoped DataFrames."""

@@ -1 +1 @@
-
+"""From text to DataFrames: syntax trees, the parser, and lowering."""
