@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard, kdtree, langid, lm_score, mixing, pii, toxicity
+from . import decontaminate, html_extract, jaccard, kdtree, langid, lm_score, mixing, pii, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_top_k": kdtree.op1_top_k,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_html": html_extract.op6_html,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
 }
