@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ class Scratch:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        gc.collect()
+        self.spark._jvm.System.gc()  # Spark deletes a finished step's shuffle files once its plan is collected
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -56,6 +59,19 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shield(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with all columns but `used` under names that clash with none of an operator's; and what names them back.
+
+    The second takes the result and names of new columns to keep.
+    """
+    inner = {c: c if c in used else f"__{i}" for i, c in enumerate(docs.columns)}
+
+    def back(df: DataFrame, *new: str) -> DataFrame:
+        return df.select(*(F.col(f"`{i}`").alias(c) for c, i in inner.items() if c not in new), *new)
+
+    return docs.select(*(F.col(f"`{c}`").alias(i) for c, i in inner.items())), back
+
+
 def row_key() -> F.Column:
     """A key for a document that also tells apart rows that share a doc_id; equal rows share it."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, StringType
 
-from .common import chunks, small_batches, table, text_buffers
+from .common import chunks, shield, small_batches, table, text_buffers
 from .textnp import ALNUM, LOWER, prefix_hash, span_hash, window_hash, words
 
 WINDOW = 10
@@ -97,7 +97,7 @@ def windows(benchmark: DataFrame, n: int = WINDOW, most: int = BROADCAST_WINDOWS
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
-    """docs with n_words, spans (word and byte bounds of hit runs, packed int64) and items (ids found, as strings)."""
+    """docs with _n_words, _hits (word and byte bounds of hit runs, packed int64) and _items (ids found, as strings); columns of such names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = [spark.sparkContext.broadcast(w) for w in windows(benchmark, n, most)]
@@ -140,9 +140,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_sh
 
     Texts without a hit, null texts among them, stay as they are.
     """
-    cols = docs.columns
+    docs, back = shield(docs, "text")
+    cols, schema = docs.columns, docs.schema
     found = hits(docs, benchmark, n)
-    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +161,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_sh
             arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in cols]
             yield pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(run, schema)
+    return back(found.mapInArrow(run, schema))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

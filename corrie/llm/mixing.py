@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shield, table
 
 SEED = "mix-1"
 STEP = 32.0
@@ -57,8 +57,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, default_weig
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, seed: str = SEED, shuffle: bool = True) -> DataFrame:
     """docs exploded by Poisson counts, with copy (from 1) and mix_order, in mix_order if `shuffle`."""
-    cols = [c for c in docs.columns if c not in ("copy", "mix_order")]
-    docs = docs.select(*cols)
+    docs, back = shield(docs, "doc_id", "text", "source")
+    cols = docs.columns
     key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce(F.md5("text"), F.lit("~")))
     r = rates(docs, weights, default_weight).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
     d = docs.withColumn("_key", key).withColumn("_at", F.pmod(F.xxhash64("_key"), F.lit(SALT)).cast("int"))
@@ -69,7 +69,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_
     d = d.withColumn("_n", count).filter("_n > 0")
     d = d.select(*cols, "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
     d = d.select(*cols, F.col("copy").cast("long").alias("copy"), F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("order"), F.col("_key"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long").alias("mix_order"))
-    return d.orderBy("mix_order", "doc_id", "copy") if shuffle else d
+    return back(d.orderBy("mix_order", "doc_id", "copy") if shuffle else d, "copy", "mix_order")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bilstm_crf import BiLstmCrf, codes
-from .common import small_batches, table
+from .common import shield, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE, MARGIN = 96, 48, 24
 SAMPLE_DOCS = 1500
 SAMPLE_WINDOWS = 6000
-STEPS = 500
+STEPS = 300
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -239,6 +239,7 @@ def find(docs: DataFrame, model: BiLstmCrf | None) -> DataFrame:
 
 def redact(docs: DataFrame, model: BiLstmCrf | None) -> DataFrame:
     """docs with every span, overlapping ones as one, replaced by its kind in brackets."""
+    docs, back = shield(docs, "text")
     cols = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +255,7 @@ def redact(docs: DataFrame, model: BiLstmCrf | None) -> DataFrame:
                     texts[i] = "".join([*parts, texts[i][at:]])
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in cols], cols)
 
-    return find(docs, model).mapInArrow(run, docs.schema)
+    return back(find(docs, model).mapInArrow(run, docs.schema))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
