@@ -28,15 +28,15 @@ from .common import chunks, small_batches, table, text_buffers
 from .textnp import ALNUM, LOWER, prefix_hash, span_hash, words
 
 BITS = 18
-DIM = 4
+DIM = 2
 SCALE = 4000.0
-RATE = 0.2
+RATE = 0.3
 MIN_DOCS = 10
 BLANKS = 8  # words without a meaning that every average holds, so a few words don't make an extreme
 FLOOR = 0.02  # of the largest gradient: n-grams of small gradients take small steps
 ORDERS = (3, 4, 5)
-DOCS_PER_CLASS = {0: 2500, 1: 1000}
-STEPS = 140
+DOCS_PER_CLASS = {0: 3000, 1: 800}
+STEPS = 100
 THRESHOLD = 0.7
 WORD = ALNUM.copy()
 WORD[[0x24, 0x40]] = True
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: dict[int, int] = D
         return None
     share = F.when(F.col("toxic") == 1, docs_per_class[1] / sizes[1]).otherwise(docs_per_class[0] / sizes[0])
     sample = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20) < share)
-    sample = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # some 3,500 ids
+    sample = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # some 3,800 ids
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "toxic"])
