@@ -41,7 +41,7 @@ class Bwt:
             rank[todo] = old + place
             todo = todo[_repeated(key)]
             h *= 2
-        self.at = np.argsort(rank, kind="stable").astype(np.int64)
+        self.at = np.argsort(rank, kind="stable").astype(np.int32 if n < 1 << 31 else np.int64)
         before = np.r_[0, sym[:-1]]
         self.last = before[self.at].astype(np.uint16)
 
@@ -69,25 +69,35 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     """
     base = np.cumsum([0, *map(len, shards)])
     n = int(base[-1])
-    first, nxt = np.zeros(n, np.int64), np.arange(n)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    first, nxt = np.zeros(n, np.uint16), np.arange(n, dtype=kind)
     for b, last in zip(base, shards, strict=False):
         by = np.argsort(last, kind="stable")
         m = int((last == 0).sum())  # the terminators' own suffixes come first and lead nowhere
         first[b + m : b + len(last)] = last[by][m:]
         nxt[b + m : b + len(last)] = by[m:] + b
-    block, d = first, 1
-    steps = {1: nxt}
-    order = np.argsort(block, kind="stable")
+    d, steps = 1, {1: nxt}
+    order = np.argsort(first, kind="stable").astype(kind)
+    key = first[order]
+    del first, nxt
     while True:
-        names = np.empty(n, np.int64)
-        names[order] = _firsts(block[order])
+        block = _firsts(key).astype(kind)  # in the order of the suffixes' d symbols
         if d == depth:
-            return order, names[order]
+            return order, block
+        names = np.empty(n, kind)
+        names[order] = block
+        del block, key, order
         more = min(d, depth - d)
-        ahead = steps[d] if more == d else _jump(steps, more)
-        block = names * np.int64(n + 1) + names[ahead]
-        order = np.argsort(block, kind="stable")
-        steps[2 * d] = steps[d][steps[d]]
+        key = names[steps[d] if more == d else _jump(steps, more)].astype(np.int64)
+        key += names * np.int64(n + 1)
+        del names
+        by = np.argsort(key, kind="stable")
+        key, order = key[by], by.astype(kind)
+        del by
+        if 2 * d <= depth:
+            steps[2 * d] = steps[d][steps[d]]
+        if not (depth & d):  # only the powers that make up the last jump are needed again
+            del steps[d]
         d += more
 
 

@@ -33,16 +33,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import repeated
-from .common import CHUNK_BYTES, Scratch, chunks, row_key, small_batches, table, text_buffers
+from .common import CHUNK_BYTES, Scratch, chunks, row_key, shield, small_batches, table, text_buffers
 from .textnp import mix, prefix_hash, span_hash
 
 DEPTH = 200
 K = 32
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 BLOCK_STRETCHES = 1 << 17
-SHARD_BYTES = 1 << 18
+SHARD_BYTES = 1 << 17
+MERGE_BYTES = 1 << 19  # merged at once, if a minimizer's stretches don't hold more
 HOT = 2000
 HOT_LEAST = 2000
+_ORDER = np.uint64(0x9E3779B97F4A7C15)
 _AT = 28  # bits of a position in a sliding minimum
 
 
@@ -55,7 +57,8 @@ def stretches(data: np.ndarray, offs: np.ndarray, hot: np.ndarray | None = None)
     c = prefix_hash(data)
     at = np.arange(m)
     h = span_hash(c, at, at + K)
-    v = h >> np.uint64(_AT)
+    with np.errstate(over="ignore"):
+        v = (h * _ORDER) >> np.uint64(_AT)  # not by h itself, or least hashes would all fall into the first buckets
     if hot is not None and len(hot):
         late = np.isin(h, hot)
         v = (v >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63 - _AT))
@@ -152,16 +155,16 @@ def _pick(pdf: pd.DataFrame) -> pd.DataFrame:
     keep = np.repeat(size > 1, size)
     ks, start, n, sig, cls = ks[keep], start[keep], n[keep], sig[keep], cls[keep]
     if not len(ks):
-        return pd.DataFrame({"kind": [], "bucket": [], "k": [], "a": [], "b": [], "c": [], "d": []})
+        return pd.DataFrame({c: [] for c in ("kind", "bucket", "k", "a", "b", "c", "d", "e")})
     new_cls = np.r_[True, (cls[1:] != cls[:-1]) | (sig[1:] != sig[:-1])]
     at = np.cumsum(new_cls) - 1
     rep = np.flatnonzero(new_cls)
     of_sig = (np.cumsum(np.r_[True, sig[1:] != sig[:-1]]) - 1)[rep]
     several = np.bincount(of_sig)[of_sig] > 1
-    rows = [(0, bucket, 0, ks.astype("<i8").tobytes(), start.astype("<i8").tobytes(), n.astype("<i8").tobytes(), at.astype("<i8").tobytes())]
+    rows = [(0, bucket, 0, *(x.astype("<i8").tobytes() for x in (ks, start, n, at, of_sig)))]
     rep = rep[several]
-    rows += [(1, b, k, x, y, z, b"") for b, k, x, y, z in _by_document(bucket, ks[rep], start[rep], n[rep], at[rep])]
-    return pd.DataFrame(rows, columns=["kind", "bucket", "k", "a", "b", "c", "d"])
+    rows += [(1, b, k, x, y, z, b"", b"") for b, k, x, y, z in _by_document(bucket, ks[rep], start[rep], n[rep], at[rep])]
+    return pd.DataFrame(rows, columns=["kind", "bucket", "k", "a", "b", "c", "d", "e"])
 
 
 def _hot(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -182,36 +185,43 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _solve(own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-    ks, start, n, at = (np.concatenate([np.frombuffer(x, "<i8") for x in own[c]]) if len(own) else np.zeros(0, np.int64) for c in "abcd")
-    windows: dict[int, np.ndarray] = {}
-    shards, held, part, lengths, ids, size, seen = [], [], [], [], [], 0, set()
-
-    def end() -> None:
-        nonlocal part, lengths, ids, size
-        if ids:
-            shards.append((np.frombuffer(b"".join(part), np.uint8), np.array(lengths)))
-            held.append(ids)
-        part, lengths, ids, size = [], [], [], 0
-
-    texts = texts.sort_values("cls") if len(texts) else texts
+    ks, start, n, at, of_sig = (np.concatenate([np.frombuffer(x, "<i8") for x in own[c]]) if len(own) else np.zeros(0, np.int64) for c in "abcde")
+    cut: dict[int, bytes] = {}  # the bytes of each class; equal rows of documents give them again
     for cls, lens, data in zip(texts["cls"], texts["lengths"], texts["data"], strict=True):
         p = 0
         for c, m in zip(np.frombuffer(cls, "<i8").tolist(), np.frombuffer(lens, "<i8").tolist(), strict=True):
-            if c not in seen:  # equal rows of documents give their stretches again
-                seen.add(c)
-                part.append(data[p : p + m])
-                lengths.append(m)
-                ids.append(c)
-                size += m
-                if size >= SHARD_BYTES:
-                    end()
-            p += m
-    end()
-    for hit, lens, own_ids in zip(repeated(shards, DEPTH), (s[1] for s in shards), held, strict=True):
-        p = 0
-        for m, c in zip(lens.tolist(), own_ids, strict=True):
-            windows[c] = np.flatnonzero(hit[p : p + m - DEPTH + 1])
+            cut[c] = data[p : p + m]
             p += m
+    windows: dict[int, np.ndarray] = {}
+    todo: list[int] = []
+    size = 0
+
+    def merge() -> None:
+        shards, held = [], 0
+        for c in todo:
+            if not held:
+                shards.append([])
+            shards[-1].append(cut[c])
+            held = held + len(cut[c]) if held + len(cut[c]) < SHARD_BYTES else 0
+        packed = [(np.frombuffer(b"".join(x), np.uint8), np.array([len(y) for y in x])) for x in shards]
+        which = iter(todo)
+        for hit, (_, lens) in zip(repeated(packed, DEPTH), packed, strict=True):
+            p = 0
+            for m in lens.tolist():
+                windows[next(which)] = np.flatnonzero(hit[p : p + m - DEPTH + 1])
+                p += m
+
+    # Only stretches of one minimizer can hold equal windows, so minimizers are merged in batches.
+    before = None
+    for c in sorted(cut):
+        if size >= MERGE_BYTES and of_sig[c] != before:
+            merge()
+            todo, size = [], 0
+        todo.append(c)
+        size += len(cut[c])
+        before = of_sig[c]
+    if todo:
+        merge()
     many = np.bincount(at) if len(at) else np.zeros(0, np.int64)
     lo, hi, kk = [], [], []
     for i, c in enumerate(at.tolist()):
@@ -241,11 +251,11 @@ def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     if hot:
         sent = scratch.cut(_messages(docs, n_buckets, np.sort(np.array(hot, np.int64).view(np.uint64))), "sent2")
         scratch.drop("sent")
-    picked = scratch.cut(sent.groupBy("bucket").applyInPandas(_pick, "kind int, bucket int, k long, a binary, b binary, c binary, d binary"), "picked")
+    picked = scratch.cut(sent.groupBy("bucket").applyInPandas(_pick, "kind int, bucket int, k long, a binary, b binary, c binary, d binary, e binary"), "picked")
     scratch.drop("sent2" if hot else "sent")
     wanted = picked.filter("kind = 1").select("bucket", "k", "a", "b", "c")
     texts = docs.join(wanted, "k").select("text", "bucket", "a", "b", "c").mapInArrow(_cut, "bucket int, cls binary, lengths binary, data binary")
-    own = picked.filter("kind = 0").select("bucket", "a", "b", "c", "d")
+    own = picked.filter("kind = 0").select("bucket", "a", "b", "c", "d", "e")
     found = own.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInPandas(_solve, "k long, lo binary, hi binary")
     return found.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -263,9 +273,9 @@ def _runs(spans: list[dict] | None) -> np.ndarray:
 
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with removed: the maximal runs of bytes to remove, packed int64 pairs."""
-    cols = [c for c in docs.columns if c not in ("removed", "_k", "_spans")]
+    docs, back = shield(docs, "doc_id", "text")
+    cols = docs.columns
     found = removed(docs.select(row_key().alias("k"), "text"), scratch).select(F.col("k").alias("_k"), F.col("spans").alias("_spans"))
-    docs = docs.select(*cols)
     joined = docs.withColumn("_k", row_key()).join(found, "_k", "left").select(*cols, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +283,7 @@ def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
             out = [_runs(s).astype("<i8").tobytes() for s in batch.column("_spans").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(out, pa.binary())], [*cols, "removed"])
 
-    return joined.mapInArrow(run, docs.withColumn("removed", F.lit(b"")).schema)
+    return back(joined.mapInArrow(run, docs.withColumn("removed", F.lit(b"")).schema), "removed")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
