@@ -28,9 +28,9 @@ from .common import chunks, small_batches, table, text_buffers
 from .textnp import ALNUM, LOWER, prefix_hash, span_hash, words
 
 BITS = 18
-DIM = 2
+DIM = 4
 SCALE = 4000.0
-RATE = 0.5
+RATE = 0.15
 MIN_DOCS = 10
 BLANKS = 8  # words without a meaning that every average holds, so a few words don't make an extreme
 FLOOR = 0.02  # of the largest gradient: n-grams of small gradients take small steps
