@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, row_key, small_batches, table, text_buffers
+from .common import Scratch, chunks, row_key, shield, small_batches, table, text_buffers
 from .graph import components
 from .textnp import LOWER, SPACE, mix, prefix_hash, span_hash, window_hash, words
 
@@ -49,6 +49,7 @@ THRESHOLD = 75
 CAP = 400
 BUCKET_BYTES = 16 << 20
 BLOCK_SHINGLES = 1 << 20
+BLOCK_DOCS = 1 << 16  # a document's number in a block takes two bytes
 PART_SHINGLES = 1 << 20
 #: Weight of a heap operation against a binary probe in DivideSkip's choice of the number of long lists.
 MU = 0.0085
@@ -187,16 +188,57 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def search_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components whose sets reach the similarity within this part of the universe."""
+def search_part(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
+    """Pairs of different components whose sets reach the similarity within this part of the universe.
+
+    Clusters hold sets of one component, so the copies in it aren't searched one by one. whole: the part is the whole
+    universe; its pairs are links, so components that one of them has joined aren't searched any more.
+    """
     ids, sizes, labels = pdf["r"].tolist(), pdf["n"].tolist(), pdf["label"].tolist()
-    index, out = Index(), []
-    for q, raw in enumerate(pdf["set"]):
-        items = np.frombuffer(raw, "<u8").tolist()
-        for x, _ in index.search(items, THRESHOLD):
-            if labels[x] != labels[q] and 100 * min(sizes[x], sizes[q]) >= THRESHOLD * max(sizes[x], sizes[q]):
-                out.append((ids[q], ids[x]))
-        index.add(items)
+    sets = [np.frombuffer(x, "<u8").tolist() for x in pdf["set"]]
+    parent = {x: x for x in labels}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    leaders, heads, members, inner = Index(), [], [], []
+    out: list[tuple[int, int]] = []
+
+    def pair(q: int, x: int) -> None:
+        if 100 * min(sizes[x], sizes[q]) >= THRESHOLD * max(sizes[x], sizes[q]):
+            out.append((ids[q], ids[x]))
+            if whole:
+                parent[root(labels[q])] = root(labels[x])
+
+    for q, items in enumerate(sets):
+        own = None
+        for c, o in leaders.search(items, 100 - 2 * (100 - THRESHOLD)):
+            h = heads[c]
+            near = links(o, len(items), len(sets[h]))
+            if labels[h] == labels[q]:
+                own = c if near and own is None else own
+                continue
+            if near and not (whole and root(labels[h]) == root(labels[q])):
+                pair(q, h)
+            if members[c] and not (whole and root(labels[h]) == root(labels[q])):
+                if inner[c] is None:
+                    inner[c] = (Index(), [])
+                index, held = inner[c]
+                for x in members[c][len(held) :]:
+                    index.add(sets[x])
+                    held.append(x)
+                for x, _ in index.search(items, THRESHOLD):
+                    pair(q, held[x])
+        if own is None:
+            leaders.add(items)
+            heads.append(q)
+            members.append([])
+            inner.append(None)
+        else:
+            members[own].append(q)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -216,11 +258,13 @@ def _stored_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 def shared_counts(rows: DataFrame, sets_of, n_buckets: int) -> DataFrame:
     """k, n and shared: of the n shingles of k, how many also occur under another label.
 
-    rows has what `sets_of` reads. Rows of the same k count once in n; their shared counts may add up, never below the
-    true count.
+    rows has what `sets_of` reads. Rows of the same k count once in n; their shared counts may add up. Within a bucket
+    32 bits of a hash travel, so a rare pair of different shingles counts as shared; a count is never below the true one.
     """
     edges = np.array([-(-(b << 32) // n_buckets) << 32 for b in range(n_buckets)], np.uint64)
 
+    shift = np.uint64(max(0, (-(-(1 << 64) // n_buckets) + (1 << 32)).bit_length() - 32))
+
     def pack(block: list[tuple[int, int, np.ndarray]], no: int) -> pa.RecordBatch:
         ks, labels = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.int64)
         ns = np.array([len(x[2]) for x in block], np.int64)
@@ -234,7 +278,7 @@ def shared_counts(rows: DataFrame, sets_of, n_buckets: int) -> DataFrame:
             if cuts[b] < cuts[b + 1]:
                 own, at = np.unique(of[cuts[b] : cuts[b + 1]], return_inverse=True)
                 bucket.append(b)
-                for c, x in zip(cols, (h[cuts[b] : cuts[b + 1]], ks[own], labels[own], at.astype(np.uint32)), strict=True):
+                for c, x in zip(cols, (((h[cuts[b] : cuts[b + 1]] - edges[b]) >> shift).astype("<u4"), ks[own], labels[own], at.astype("<u2")), strict=True):
                     c.append(x.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "h", "ks", "labels", "at"])
 
@@ -245,9 +289,9 @@ def shared_counts(rows: DataFrame, sets_of, n_buckets: int) -> DataFrame:
                 if len(s):
                     block.append((k, label, s))
                     size += len(s)
-            if size >= BLOCK_SHINGLES:
-                yield pack(block, no)
-                block, size, no = [], 0, no + 1
+                if size >= BLOCK_SHINGLES or len(block) == BLOCK_DOCS:
+                    yield pack(block, no)
+                    block, size, no = [], 0, no + 1
         if block:
             yield pack(block, no + n_buckets // 2)
 
@@ -259,8 +303,8 @@ def shared_counts(rows: DataFrame, sets_of, n_buckets: int) -> DataFrame:
             tables = [np.frombuffer(x, "<i8") for x in pdf["ks"]]
             base = np.cumsum([0, *map(len, tables)])
             ks, labels = np.concatenate(tables), np.concatenate([np.frombuffer(x, "<i8") for x in pdf["labels"]])
-            of = np.concatenate([np.frombuffer(x, "<u4") + b for x, b in zip(pdf["at"], base, strict=False)])
-            h = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["h"]])
+            of = np.concatenate([np.frombuffer(x, "<u2") + b for x, b in zip(pdf["at"], base, strict=False)])
+            h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["h"]])
             order = np.argsort(h, kind="stable")
             h, of = h[order], of[order]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -307,8 +351,7 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     likely = counts.filter(F.col("shared") * 100 >= F.col("n") * THRESHOLD).select("k")
     stored = "k long, r long, n long, " + ", ".join(f"m{i} long" for i in range(len(SEEDS))) + ", set binary"
     kept = scratch.cut(docs.join(likely, "k", "leftsemi").mapInArrow(_store, stored), "kept")
-    first = kept.groupBy("r").agg(F.min("k").alias("k")).select("k")
-    reps = scratch.cut(kept.join(first, "k", "leftsemi").drop("k").dropDuplicates(["r"]), "reps")
+    reps = scratch.cut(kept.drop("k").dropDuplicates(["r"]), "reps")
 
     found = None
     for i in range(len(SEEDS)):
@@ -323,6 +366,8 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     left = reps.join(comps, F.col("r") == F.col("id"), "left").select(F.col("r").alias("k"), "n", F.coalesce("comp", "r").alias("label"), "set")
     left = scratch.cut(left, "left0")
     for i in range(2):
+        if i and (left.agg(F.sum("n")).first()[0] or 0) <= PART_SHINGLES:
+            break  # few enough for one search
         few = shared_counts(left, _stored_sets, n_buckets)
         few = few.filter(F.col("shared") * 100 >= F.col("n") * THRESHOLD).select("k")
         left = scratch.cut(left.join(few, "k", "leftsemi"), f"left{i + 1}")
@@ -338,7 +383,7 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
                     own = np.unique(part)
                     yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *(pa.array([x] * len(own), pa.int64()) for x in (k, n, label)), pa.array([s[part == p].tobytes() for p in own], pa.binary())], ["part", "r", "n", "label", "set"])
 
-        pairs = left.mapInArrow(divide, "part long, r long, n long, label long, set binary").groupBy("part").applyInPandas(search_part, "a long, b long").distinct()
+        pairs = left.mapInArrow(divide, "part long, r long, n long, label long, set binary").groupBy("part").applyInPandas(lambda pdf: search_part(pdf, n_parts == 1), "a long, b long").distinct()
         sets = left.select("k", "set")
         pairs = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
@@ -372,7 +417,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that agree in doc_id and text and have a word are a group, too.
     """
-    spark, cols = docs.sparkSession, docs.columns
+    spark = docs.sparkSession
+    docs, back = shield(docs, "doc_id", "text")
+    cols = docs.columns
     found = groups(docs, Scratch(spark))
     ids = docs.select("doc_id", row_key().alias("_k")).join(found.withColumnRenamed("k", "_k"), "_k")
     best = ids.groupBy(F.coalesce("comp", "_k").alias("comp")).agg(F.min(F.struct("doc_id", "_k")).alias("best"), F.count(F.lit(1)).alias("c"))
@@ -381,7 +428,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     own = own.join(best, "_k", "left")
     alone = own.filter("_some IS NULL OR c = 1")
     first = own.filter("c > 1").dropDuplicates(["_k"])
-    return alone.select(*cols).union(first.select(*cols))
+    return back(alone.select(*cols).union(first.select(*cols)))
 
 
 OP5_SQL = r"""
