@@ -204,7 +204,9 @@ def search_part(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    leaders, heads, members, inner = Index(), [], [], []
+    # Leaders without members are searched at the similarity itself, only the others at what their members ask for.
+    alone, alone_ids, crowd, crowd_ids = Index(), [], Index(), []
+    heads, members, inner = [], [], []
     out: list[tuple[int, int]] = []
 
     def pair(q: int, x: int) -> None:
@@ -215,7 +217,9 @@ def search_part(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
 
     for q, items in enumerate(sets):
         own = None
-        for c, o in leaders.search(items, 100 - 2 * (100 - THRESHOLD)):
+        near_by = [(alone_ids[i], o) for i, o in alone.search(items, THRESHOLD) if not members[alone_ids[i]]]
+        near_by += [(crowd_ids[i], o) for i, o in crowd.search(items, 100 - 2 * (100 - THRESHOLD))]
+        for c, o in near_by:
             h = heads[c]
             near = links(o, len(items), len(sets[h]))
             if labels[h] == labels[q]:
@@ -233,11 +237,15 @@ def search_part(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
                 for x, _ in index.search(items, THRESHOLD):
                     pair(q, held[x])
         if own is None:
-            leaders.add(items)
+            alone.add(items)
+            alone_ids.append(len(heads))
             heads.append(q)
             members.append([])
             inner.append(None)
         else:
+            if not members[own]:
+                crowd.add(sets[heads[own]])
+                crowd_ids.append(own)
             members[own].append(q)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
