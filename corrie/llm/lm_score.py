@@ -6,8 +6,8 @@ of their own, the others share classes, in which a bin has its share of the corp
 P(class | both sides) * P(bin | class), and a text's score is the sum of its words' log-probabilities.
 
 Counts cover every word of the corpus. The network is trained in numpy by all partitions side by side: in each of ROUNDS
-rounds every partition starts from the common network, takes one Adagrad pass over every TRAIN_EVERY-th word of each of
-its texts, and the results are averaged, weighted by words. Counts and networks are summed in a tree of groups of FAN
+rounds every partition starts from the common network, takes one Adagrad pass over every word of its texts, and the
+results are averaged, weighted by words. Counts and networks are summed in a tree of groups of FAN
 rows, packed by block, so no task holds more than FAN of them, and only sums of a fixed size reach the driver.
 
 Edge cases: a null, empty or word-free text has n_tokens 0 and scores of 0; a corpus without words leaves the network as
@@ -36,7 +36,6 @@ OTHER_ROWS = 1024
 DIM, HIDDEN = 8, 24
 CLASSES, SHARED_CLASSES = 64, 24
 ROUNDS = 2
-TRAIN_EVERY = 8
 BATCH = 1024
 RATE = 0.08
 BLOCKS, FAN = 8, 64
@@ -97,9 +96,10 @@ class Network:
         dh = (z @ self.p["o"].T) * (1 - h * h)
         grad = {"o": h.T @ z, "c": z.sum(0), "w": x.T @ dh, "b": dh.sum(0)}
         dx = (dh @ self.p["w"].T).reshape(-1, DIM)
-        order = np.argsort(ctx.ravel(), kind="stable")
-        rows, first = np.unique(ctx.ravel()[order], return_index=True)
-        de = np.add.reduceat(dx[order], first, axis=0)
+        order = np.argsort(ctx.ravel().astype(np.uint16), kind="stable")  # a radix sort
+        rows = ctx.ravel()[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        rows, de = rows[first], np.add.reduceat(dx[order], first, axis=0)
         for k, d in grad.items():
             seen[k] += d * d
             self.p[k] -= RATE * d / (np.sqrt(seen[k]) + 1e-6)
@@ -178,8 +178,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
             seen = {k: np.full_like(x, 1e-4) for k, x in own.p.items()}
             for b, wo in parts:
                 row = shared.value.row[b]
-                at = np.arange((len(b) + r) % TRAIN_EVERY % max(1, len(b)), len(b), TRAIN_EVERY)
-                at = np.random.default_rng(len(b) + r).permutation(at)
+                at = np.random.default_rng(len(b) + r).permutation(len(b))
                 for i in range(0, len(at), BATCH):
                     part = at[i : i + BATCH]
                     own.step(contexts(row, wo, part), shared.value.cls[b[part]], seen)

@@ -153,6 +153,12 @@ def test_lm_beats_unigrams(spark):
     assert score > np.log(1 / 6) * 0.9  # unigrams reach log(1/6)
 
 
+def test_lm_trains_on_every_position(spark):
+    df = spark.createDataFrame([(i, "one two three four five six seven eight") for i in range(8000)], "doc_id long, text string").coalesce(1)
+    score = lm_score.score(df, lm_score.train(df)).agg(F.min("mean_logprob")).first()[0]
+    assert score > np.log(1 / 2)  # with every 8th word as a target, most words are never predicted
+
+
 def test_pii_patterns_and_model():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
