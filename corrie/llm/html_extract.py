@@ -2,9 +2,10 @@
 
 Markup is stripped first: comments, scripts, styles and elements that are boilerplate by their name or by a word of their
 class, id or role go with what they hold; character references are decoded; block elements part the text into blocks
-whose white space is one space. Then text lengths are summed over sliding windows of WINDOW blocks. A window's sum that
-rises over SURGE marks a surge point, a sum that falls to nothing a dive point; the blocks between them are kept. Text
-inside links counts nothing, nor does text outside <article> or <main> where a page has one of them.
+whose white space is one space. Where a page has blocks in <article> or <main>, all of these are its text and no other is.
+Elsewhere text lengths are summed over sliding windows of WINDOW blocks, in which text inside links counts nothing. A
+window's sum that rises over SURGE marks a surge point, a sum that falls to nothing a dive point; the blocks between them
+are kept, and so are the headings and paragraphs next to them that are all links.
 
 Edge cases: a null or empty page and a page without text give an empty text; a page without a surge keeps its heaviest
 run of blocks; unclosed elements end with what holds them, unclosed comments and scripts with the page; rows are handled
@@ -29,6 +30,7 @@ SURGE = 40
 # Elements of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 RAW = frozenset("script style textarea title xmp".split())
 DROPPED = frozenset("head script style textarea title xmp noscript template iframe svg math canvas object embed audio video map form fieldset select button input datalist dialog nav aside footer menu".split())
 #: Words of a class, id or role that mark boilerplate.
@@ -45,30 +47,29 @@ def _marked(attrs: str) -> frozenset[str]:
     return frozenset(w.lower() for m in _MARK.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or ""))
 
 
-def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """Each block's text, the length of its text outside links, and whether it lies in an <article> or <main>."""
-    out: list[tuple[str, int, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
+    """Each block's text, the length of its text outside links, whether it lies in an <article> or <main>, and in a heading or paragraph."""
+    out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each drops its text
     dropped = main = links = 0
-    in_main = False
+    in_main = prose = False
 
     def end() -> None:
-        nonlocal in_main
         if parts:
             text = " ".join(htmllib.unescape("".join(parts)).split())
             if text:
                 free = len(text) - len(" ".join(htmllib.unescape("".join(linked)).split()))
-                out.append((text, max(free, 0), in_main))
+                out.append((text, max(free, 0), in_main, prose))
             parts.clear()
             linked.clear()
 
     def say(text: str) -> None:
-        nonlocal in_main
+        nonlocal in_main, prose
         if text and not dropped:
             if not parts:
-                in_main = main > 0
+                in_main, prose = main > 0, any(t in PROSE for t, _ in stack)
             parts.append(text)
             if links:
                 linked.append(text)
@@ -135,10 +136,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = blocks(page)
-    some = any(inside for _, _, inside in lines)
-    weight = [n if inside or not some else 0 for _, n, inside in lines]
+    if any(inside for _, _, inside, _ in lines):
+        return " ".join(t for t, _, inside, _ in lines if inside)
+    weight = [n for _, n, _, _ in lines]
     if not any(weight):
-        return " ".join(t for t, _, inside in lines if inside)
+        return ""
     sums = [sum(weight[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(weight) + WINDOW - 1)]  # of the window that ends at i
     runs, start = [], None
     for i, s in enumerate(sums):
@@ -150,11 +152,16 @@ def main_text(page: str | None) -> str:
     if start is not None:
         runs.append((start, len(sums)))
     kept = [r for r in runs if max(sums[r[0] : r[1]]) > SURGE] or [max(runs, key=lambda r: max(sums[r[0] : r[1]]))]
-    out = []
+    keep: set[int] = set()
     for a, b in kept:
         own = [i for i in range(a, min(b, len(lines))) if weight[i]]
-        out += [lines[i][0] for i in range(own[0], own[-1] + 1) if lines[i][2] or not some]
-    return " ".join(out)
+        first, last = own[0], own[-1]
+        while first and not weight[first - 1] and lines[first - 1][3]:
+            first -= 1
+        while last + 1 < len(lines) and not weight[last + 1] and lines[last + 1][3]:
+            last += 1
+        keep.update(range(first, last + 1))
+    return " ".join(lines[i][0] for i in sorted(keep))
 
 
 def extract(pages: DataFrame) -> DataFrame:

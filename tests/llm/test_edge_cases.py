@@ -139,6 +139,16 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_the_whole_article():
+    long = "long enough to be a surge of its own in any window of blocks"
+    links = "<p><a href=x>one</a></p><p><a href=x>two</a></p><p><a href=x>three</a></p>"
+    menu = "<div><a href=x>menu</a></div>"
+    assert html_extract.main_text("<article><h1><a href=x>Title</a></h1><p>Body</p></article>") == "Title Body"
+    assert html_extract.main_text(f"<p>outside</p><main><p>{long}</p>{links}<p>The end.</p></main>") == f"{long} one two three The end."
+    assert html_extract.main_text(f"<article><p>{long}</p><p><a href=x>Read on</a></p></article>{menu}") == f"{long} Read on"
+    assert html_extract.main_text(f"{menu}<h1><a href=x>Title</a></h1><p>{long}</p><p><a href=x>Read on</a></p>{menu}") == f"Title {long} Read on"
+
+
 def test_top_k(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 0.0]), (50, []), (100, []), (None, [9.0, 9.0]), (150, [-0.5, 0.001])]
