@@ -1,14 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word of a text from both sides.
 
-Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, hashed to VOCAB bins. Two words on each side of the masked one are
-embedded, joined and put through a tanh layer and a softmax over CLASSES classes of bins; the frequent bins are classes
-of their own, the others share classes, in which a bin has its share of the corpus counts. So P(bin | both sides) =
-P(class | both sides) * P(bin | class), and a text's score is the sum of its words' log-probabilities.
-
-Counts cover every word of the corpus. The network is trained in numpy by all partitions side by side: in each of ROUNDS
-rounds every partition starts from the common network, takes one Adagrad pass over every word of its texts, and the
-results are averaged, weighted by words. Counts and networks are summed in a tree of groups of FAN
-rows, packed by block, so no task holds more than FAN of them, and only sums of a fixed size reach the driver.
+Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. All distinct words (by 64-bit hash) are counted exactly, in buckets
+of the hash spread over the cluster. A binary tree has 8 sqrt(V) leaves or more for V distinct words: frequent words have
+leaves of their own, by rank, and words of the same or similar counts share the others, in equal parts of the corpus. Two
+words on each side of the masked one are embedded by leaf, joined and put through a tanh layer, and each node of the tree
+on the way to the word's leaf is a logistic choice. So P(word | both sides) = P(leaf | both sides) * count / count of the
+leaf, and a text's score is the sum of its words' log-probabilities. A word that isn't in the corpus has half a count.
+
+Counts don't fit a task: each chunk of texts sends its distinct words to the buckets and gets their counts back by
+shuffle. The network is trained in numpy by all partitions side by side: in each of ROUNDS rounds every partition starts
+from the common network, takes one Adagrad pass over every word of its texts, and the results are averaged, weighted by
+words. Networks are summed in a tree of groups of FAN rows, packed by block, so no task holds more than FAN of them. The
+driver gets the sums, the leaves' own words and the number of words of each count.
 
 Edge cases: a null, empty or word-free text has n_tokens 0 and scores of 0; a corpus without words leaves the network as
 it starts; rows are scored one by one, so repeated rows agree; an empty table gives no rows; other columns pass.
@@ -16,8 +19,8 @@ it starts; rows are scored one by one, so repeated rows agree; an empty table gi
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,49 +28,117 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, small_batches, table, text_buffers
+from .common import Scratch, chunks, small_batches, table, text_buffers
 from .textnp import LOWER, SPACE, prefix_hash, span_hash, words
 
-VOCAB_BITS = 16
-VOCAB = 1 << VOCAB_BITS
 SIDE = 2
-ROWS = 5120  # embeddings: the frequent bins have their own, the others share OTHER_ROWS; the last is for no word
-OTHER_ROWS = 1024
 DIM, HIDDEN = 8, 24
-CLASSES, SHARED_CLASSES = 64, 24
 ROUNDS = 2
 BATCH = 1024
 RATE = 0.08
 BLOCKS, FAN = 8, 64
+PENDING = 1 << 21  # distinct words that a task holds before it sends their counts
 
 
-def bins(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of each word, and each text's offset into them."""
+def hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and each text's offset into them."""
     data = LOWER[data]
     starts, ends, wo = words(data, offs, ~SPACE)
     if not len(starts):
-        return np.zeros(0, np.int64), wo
-    return (span_hash(prefix_hash(data), starts, ends) >> np.uint64(64 - VOCAB_BITS)).astype(np.int64), wo
+        return np.zeros(0, np.uint64), wo
+    return span_hash(prefix_hash(data), starts, ends), wo
+
+
+def _cuts(h: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n buckets begins in sorted hashes."""
+    return np.searchsorted((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+
+
+def _merged(hs: list[np.ndarray], cs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    h, c = np.concatenate(hs), np.concatenate(cs)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[first], np.add.reduceat(c[order], first)
+
+
+def count(docs: DataFrame, n: int) -> DataFrame:
+    """bucket, h and c: the sorted hashes and the counts of the distinct words of each of n buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send() -> pa.RecordBatch:
+            h, c = _merged(hs, cs)
+            cut = _cuts(h, n)
+            some = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()) for x in (h, c))], ["bucket", "h", "c"])
+
+        hs, cs = [], []
+        held = 0
+        for batch in batches:
+            data, offs = text_buffers(batch.column("text"))
+            for i, j in chunks(offs):
+                h, c = np.unique(hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[0], return_counts=True)
+                if len(h):
+                    hs.append(h)
+                    cs.append(c.astype(np.int64))
+                    held += len(h)
+            if held > PENDING:
+                h, c = _merged(hs, cs)
+                hs, cs, held = [h], [c], len(h)
+                if held > PENDING // 2:
+                    yield send()
+                    hs, cs, held = [], [], 0
+        if hs:
+            yield send()
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, c = _merged([np.frombuffer(x, "<u8") for x in pdf["h"]], [np.frombuffer(x, "<i8") for x in pdf["c"]])
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "h": [h.tobytes()], "c": [c.tobytes()]})
+
+    kind = "bucket int, h binary, c binary"
+    return docs.select("text").mapInArrow(run, kind).groupBy("bucket").applyInPandas(add, kind)
 
 
 class Vocabulary:
-    def __init__(self, counts: np.ndarray) -> None:
-        order = np.argsort(-counts, kind="stable")
-        own = ROWS - 1 - OTHER_ROWS
-        self.row = own + np.arange(VOCAB) % OTHER_ROWS
-        self.row[order[:own]] = np.arange(own)
-        alone = CLASSES - SHARED_CLASSES
-        self.cls = alone + np.arange(VOCAB) % SHARED_CLASSES
-        self.cls[order[:alone]] = np.arange(alone)
-        share = counts + 0.1
-        self.within = np.log(share / np.bincount(self.cls, share, CLASSES)[self.cls])
+    """The leaves of words. values, sizes: each count, ascending, and the number of words that have it."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.depth = max(6, math.ceil(math.log2(8 * math.sqrt(sizes.sum()) + 1)))
+        self.leaves = 1 << self.depth
+        shared = self.leaves // 8
+        own = np.cumsum(sizes[::-1])[::-1] <= self.leaves - shared  # these words are few enough for own leaves
+        self.least = int(values[own].min()) if own.any() else int(values.max(initial=0)) + 1
+        self.n_own = int(sizes[own].sum())
+        self.values, mass = values[~own], (values * sizes)[~own].astype(float)
+        self.leaf_of_value = self.n_own + ((np.cumsum(mass) - mass) / max(1.0, mass.sum()) * shared).astype(np.int64)
+        self.mass = np.bincount(self.leaf_of_value, mass, self.leaves)
+        self.own_h, self.own_leaf = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def own(self, h: np.ndarray, c: np.ndarray) -> None:
+        leaf = np.zeros(len(h), np.int64)
+        leaf[np.lexsort((h, -c))] = np.arange(len(h))
+        order = np.argsort(h)
+        self.own_h, self.own_leaf = h[order], leaf[order]
+
+    def find(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf and log-probability within it of words with these hashes and counts (0 for an unknown word)."""
+        leaf, within = np.full(len(h), self.n_own), np.full(len(h), math.log(0.5))
+        if len(self.values):
+            leaf = self.leaf_of_value[np.minimum(np.searchsorted(self.values, c), len(self.values) - 1)]
+            within = np.log(np.maximum(c, 0.5) / self.mass[leaf])
+        if len(self.own_h):
+            at = np.minimum(np.searchsorted(self.own_h, h), len(self.own_h) - 1)
+            ok = self.own_h[at] == h
+            leaf, within = np.where(ok, self.own_leaf[at], leaf), np.where(ok, 0.0, within)
+        return leaf, within
 
 
 class Network:
-    def __init__(self, seed: int = 1) -> None:
+    def __init__(self, depth: int, seed: int = 1) -> None:
+        self.depth, self.leaves = depth, 1 << depth
         g = np.random.default_rng(seed)
         draw = lambda *s: (g.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"e": (g.standard_normal((ROWS, DIM)) * 0.3).astype(np.float32), "w": draw(2 * SIDE * DIM, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "o": draw(HIDDEN, CLASSES), "c": np.zeros(CLASSES, np.float32)}
+        self.p = {"e": (g.standard_normal((self.leaves + 1, DIM)) * 0.3).astype(np.float32), "w": draw(2 * SIDE * DIM, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "o": np.zeros((self.leaves, HIDDEN), np.float32), "c": np.zeros(self.leaves, np.float32)}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
@@ -79,39 +150,47 @@ class Network:
             at += x.size
         return self
 
-    def log_probs(self, ctx: np.ndarray) -> np.ndarray:
-        h = np.tanh(self.p["e"][ctx].reshape(len(ctx), -1) @ self.p["w"] + self.p["b"])
-        z = h @ self.p["o"] + self.p["c"]
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def step(self, ctx: np.ndarray, y: np.ndarray, seen: dict[str, np.ndarray]) -> None:
+    def _path(self, ctx: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The input, the tanh layer, and by depth and word: node, its weights, the choice there, the logit of choosing 1."""
         x = self.p["e"][ctx].reshape(len(ctx), -1)
         h = np.tanh(x @ self.p["w"] + self.p["b"])
-        z = h @ self.p["o"] + self.p["c"]
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(y)), y] -= 1
-        z /= len(y)
-        dh = (z @ self.p["o"].T) * (1 - h * h)
-        grad = {"o": h.T @ z, "c": z.sum(0), "w": x.T @ dh, "b": dh.sum(0)}
+        at, up = (y + self.leaves)[None], np.arange(self.depth, 0, -1)[:, None]
+        nodes = at >> up
+        o = self.p["o"][nodes]
+        return x, h, nodes, o, (at >> (up - 1)) & 1, np.matmul(o.transpose(1, 0, 2), h[:, :, None])[:, :, 0].T + self.p["c"][nodes]
+
+    def log_probs(self, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
+        *_, bit, z = self._path(ctx, y)
+        return -np.logaddexp(0, np.where(bit, -z, z)).sum(0)
+
+    def step(self, ctx: np.ndarray, y: np.ndarray, seen: dict[str, np.ndarray]) -> None:
+        order = np.argsort(y, kind="stable")  # so the nodes are sorted too
+        ctx, y = ctx[order], y[order]
+        x, h, nodes, o, bit, z = self._path(ctx, y)
+        g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - bit) / len(y)).astype(np.float32)
+        dh = np.matmul(g.T[:, None, :], o.transpose(1, 0, 2))[:, 0] * (1 - h * h)
+        nodes = nodes.ravel()
+        first = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
+        sparse = {"o": (nodes[first], np.add.reduceat((g[:, :, None] * h[None]).reshape(-1, HIDDEN), first, axis=0)), "c": (nodes[first], np.add.reduceat(g.ravel(), first))}
         dx = (dh @ self.p["w"].T).reshape(-1, DIM)
-        order = np.argsort(ctx.ravel().astype(np.uint16), kind="stable")  # a radix sort
+        order = np.argsort(ctx.ravel().astype(np.uint16 if self.leaves < 1 << 16 else np.uint32), kind="stable")
         rows = ctx.ravel()[order]
         first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        rows, de = rows[first], np.add.reduceat(dx[order], first, axis=0)
-        for k, d in grad.items():
+        sparse["e"] = rows[first], np.add.reduceat(dx[order], first, axis=0)
+        for k, d in {"w": x.T @ dh, "b": dh.sum(0)}.items():
             seen[k] += d * d
             self.p[k] -= RATE * d / (np.sqrt(seen[k]) + 1e-6)
-        seen["e"][rows] += de * de
-        self.p["e"][rows] -= RATE * de / (np.sqrt(seen["e"][rows]) + 1e-6)
+        for k, (rows, d) in sparse.items():
+            sums = seen[k][rows] + d * d
+            seen[k][rows] = sums
+            self.p[k][rows] -= RATE * d / (np.sqrt(sums) + 1e-6)
 
 
-def contexts(row: np.ndarray, wo: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The embedding rows of the words around those at `at`; beyond a text's bounds stands the last row."""
+def contexts(row: np.ndarray, wo: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """The leaves of the words around those at `at`; beyond a text's bounds stands `none`."""
     text = np.searchsorted(wo, at, "right") - 1
     lo, hi = wo[text], wo[text + 1]
-    out = np.full((len(at), 2 * SIDE), ROWS - 1)
+    out = np.full((len(at), 2 * SIDE), none)
     for c, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         i = at + d
         ok = (i >= lo) & (i < hi)
@@ -136,85 +215,134 @@ def _tree_sum(parts: DataFrame, n: int) -> np.ndarray:
             return np.concatenate([np.frombuffer(r["x"], "<f8") for r in rows]) if rows else np.zeros(0)
 
 
-def _each(docs: DataFrame, total: Callable[[Iterator[tuple[np.ndarray, np.ndarray]]], np.ndarray]) -> np.ndarray:
-    """The sum over partitions of what `total` makes of a partition's words."""
+def _found(scratch: Scratch, docs: DataFrame, vocab: Vocabulary, counts: DataFrame, n: int, cols: list[str], use, schema) -> DataFrame:  # noqa: ANN001
+    """What `use` makes of each chunk of docs: its columns `cols`, word offsets, and each word's leaf and share in it."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for batch in batches:
-                data, offs = text_buffers(batch.column("text"))
-                for i, j in chunks(offs):
-                    got = bins(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                    if len(got[0]):
-                        yield got
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            data, offs = text_buffers(batch.column("text"))
+            for i, j in chunks(offs):
+                h = np.unique(hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[0])
+                cut = _cuts(h, n)
+                some = np.flatnonzero(np.diff(cut))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as w:
+                    w.write_batch(batch.slice(i, j - i))
+                x = [sink.getvalue().to_pybytes(), *(h[cut[b] : cut[b + 1]].tobytes() for b in some)]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(x), pa.int64()), pa.array([-1, *some], pa.int32()), pa.array(x, pa.binary())], ["chunk", "bucket", "x"])
+                at += 1
+
+    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
+        h, c = (np.concatenate([np.frombuffer(x, t) for x in own.column(k).to_pylist()] or [np.zeros(0, t)]) for k, t in (("h", "<u8"), ("c", "<i8")))
+        out = []
+        for x in asked.column("x").to_pylist():
+            q = np.frombuffer(x, "<u8")
+            got = np.zeros(len(q), np.int64)
+            if len(h):
+                i = np.minimum(np.searchsorted(h, q), len(h) - 1)
+                got = np.where(h[i] == q, c[i], 0)
+            out.append(got.astype("<i8").tobytes())
+        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "x": pa.array(out, pa.binary())})
+
+    def join(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
+        x = rows.column("x").to_pylist()
+        part = pa.ipc.open_stream(x[0]).read_all().combine_chunks()
+        data, offs = text_buffers(part.column("text"))
+        h, wo = hashes(data, offs)
+        h, at = np.unique(h, return_inverse=True)
+        c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(y, "<i8") for y in x[1:])])
+        leaf, within = shared.value.find(h, c)
+        return use(part.select(cols), wo, leaf[at], within[at])
+
+    kind = "chunk long, bucket int, x binary"
+    sent = scratch.cut(docs.select(*dict.fromkeys([*cols, "text"])).mapInArrow(send, kind), "sent")
+    asked = sent.filter("bucket >= 0").groupBy("bucket")
+    got = counts.groupBy("bucket").cogroup(asked).applyInArrow(answer, kind)
+    return sent.filter("bucket < 0").union(got).repartition(n, "chunk").groupBy("chunk").applyInArrow(join, schema)
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, DataFrame, int, Network]:
+    """The vocabulary, its counts in a scratch table of so many buckets, and the network."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark)
+    n = max(1, docs.rdd.getNumPartitions())
+    counts = scratch.cut(count(docs, n), "counts")
 
-        x = total(each())
-        parts = [p.astype("<f8").tobytes() for p in np.array_split(x, BLOCKS)]
-        at = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([at] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["at", "block", "x"])
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("c").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in np.unique(np.frombuffer(x, "<i8"), return_counts=True)], ["c", "n"])
 
-    sent = docs.select("text").mapInArrow(run, "at int, block int, x binary")
-    return _tree_sum(sent, max(1, docs.rdd.getNumPartitions()))
+    rows = counts.select("c").mapInArrow(sizes, "c long, n long").groupBy("c").agg({"n": "sum"}).collect()
+    size = np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, 2)
+    vocab = Vocabulary(size[:, 0], size[:, 1])
+    least = vocab.least
 
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("h").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                h, c = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(h[c >= least]), pa.array(c[c >= least])], ["h", "c"])
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    spark = docs.sparkSession
-    small_batches(spark)
+    own = np.array([tuple(r) for r in counts.mapInArrow(frequent, "h long, c long").collect()], np.int64).reshape(-1, 2)
+    vocab.own(own[:, 0].view(np.uint64) if own.flags.f_contiguous else own[:, 0].copy().view(np.uint64), own[:, 1])
+    net = Network(vocab.depth)
+    none = vocab.leaves
 
-    def count(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        c = np.zeros(VOCAB)
-        for b, _ in parts:
-            c += np.bincount(b, minlength=VOCAB)
-        return c
+    def coded(part: pa.Table, wo: np.ndarray, leaf: np.ndarray, within: np.ndarray) -> pa.Table:
+        return pa.table({"wo": pa.array([wo.astype("<i8").tobytes()], pa.binary()), "leaf": pa.array([leaf.astype("<i4").tobytes()], pa.binary())})
 
-    counts = _each(docs, count)
-    vocab, net = Vocabulary(counts if len(counts) else np.zeros(VOCAB)), Network()
-    shared = spark.sparkContext.broadcast(vocab)
+    texts = scratch.cut(_found(scratch, docs, vocab, counts, n, [], coded, "wo binary, leaf binary"), "coded").repartition(n)
+    scratch.drop("sent")
     for r in range(rounds):
-        start = net.flat()
+        start = spark.sparkContext.broadcast(net.flat())
 
-        def learn(parts: Iterator[tuple[np.ndarray, np.ndarray]], start: np.ndarray = start, r: int = r) -> np.ndarray:
-            own, seen, used = Network().load(start), {}, 0
+        def learn(batches: Iterator[pa.RecordBatch], r: int = r, start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            own, used = Network(none.bit_length() - 1).load(start.value), 0
             seen = {k: np.full_like(x, 1e-4) for k, x in own.p.items()}
-            for b, wo in parts:
-                row = shared.value.row[b]
-                at = np.random.default_rng(len(b) + r).permutation(len(b))
-                for i in range(0, len(at), BATCH):
-                    part = at[i : i + BATCH]
-                    own.step(contexts(row, wo, part), shared.value.cls[b[part]], seen)
-                used += len(at)
-            return np.r_[own.flat().astype(np.float64) * used, used]
-
-        got = _each(docs, learn)
+            for batch in batches:
+                for x, y in zip(batch.column("wo").to_pylist(), batch.column("leaf").to_pylist(), strict=True):
+                    wo, leaf = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i4").astype(np.int64)
+                    at = np.random.default_rng(len(leaf) + r).permutation(len(leaf))
+                    for i in range(0, len(at), BATCH):
+                        part = at[i : i + BATCH]
+                        own.step(contexts(leaf, wo, part, none), leaf[part], seen)
+                    used += len(at)
+            parts = [p.astype("<f8").tobytes() for p in np.array_split(np.r_[own.flat().astype(np.float64) * used, used], BLOCKS)]
+            at = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([at] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["at", "block", "x"])
+
+        got = _tree_sum(texts.mapInArrow(learn, "at int, block int, x binary"), n)
         if len(got) and got[-1]:
-            net = Network().load(got[:-1] / got[-1])
-    return vocab, net
+            net = Network(vocab.depth).load(got[:-1] / got[-1])
+    scratch.drop("coded")
+    return vocab, counts, n, net
 
 
-def score(docs: DataFrame, model: tuple[Vocabulary, Network]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Vocabulary, DataFrame, int, Network]) -> DataFrame:
     """docs with n_tokens, logprob (sum) and mean_logprob."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    vocab, counts, buckets, net = model
+    shared = docs.sparkSession.sparkContext.broadcast(net)
     new = ("n_tokens", "logprob", "mean_logprob")
     cols = [c for c in docs.columns if c not in new]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, net = pickle.loads(shared.value)
-        for batch in batches:
-            data, offs = text_buffers(batch.column("text"))
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, j in chunks(offs):
-                b, wo = bins(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                row, lp = vocab.row[b], vocab.within[b]
-                for a in range(0, len(b), 8192):
-                    at = np.arange(a, min(a + 8192, len(b)))
-                    lp[at] += net.log_probs(contexts(row, wo, at))[np.arange(len(at)), vocab.cls[b[at]]]
-                c = np.r_[0.0, np.cumsum(lp)]
-                n[i:j], total[i:j] = np.diff(wo), c[wo[1:]] - c[wo[:-1]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in cols), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], [*cols, *new])
+    def scored(part: pa.Table, wo: np.ndarray, leaf: np.ndarray, within: np.ndarray) -> pa.Table:
+        net, lp = shared.value, within.copy()
+        for a in range(0, len(leaf), 8192):
+            at = np.arange(a, min(a + 8192, len(leaf)))
+            lp[at] += net.log_probs(contexts(leaf, wo, at, net.leaves), leaf[at])
+        c = np.r_[0.0, np.cumsum(lp)]
+        n, total = np.diff(wo), c[wo[1:]] - c[wo[:-1]]
+        return pa.table([*(part.column(x) for x in cols), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], [*cols, *new])
 
     docs = docs.select(*cols)
-    return docs.mapInArrow(run, docs.selectExpr("*", "CAST(0 AS LONG) AS n_tokens", "CAST(0 AS DOUBLE) AS logprob", "CAST(0 AS DOUBLE) AS mean_logprob").schema)
+    schema = docs.selectExpr("*", "CAST(0 AS LONG) AS n_tokens", "CAST(0 AS DOUBLE) AS logprob", "CAST(0 AS DOUBLE) AS mean_logprob").schema
+    return _found(Scratch(docs.sparkSession), docs, vocab, counts, buckets, cols, scored, schema)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

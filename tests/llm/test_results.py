@@ -159,6 +159,27 @@ def test_lm_trains_on_every_position(spark):
     assert score > np.log(1 / 2)  # with every 8th word as a target, most words are never predicted
 
 
+def test_lm_counts_every_distinct_word(spark):
+    g = np.random.default_rng(5)
+    often = [f"often{i}" for i in range(3000)]
+    rows = [(i, " ".join([*g.choice(often, 20), f"rare{i}"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocab, counts, _, net = lm_score.train(df, rounds=1)
+    found = {}
+    for r in counts.collect():
+        found |= dict(zip(np.frombuffer(r["h"], "<u8").tolist(), np.frombuffer(r["c"], "<i8").tolist()))
+    want = Counter(w for _, t in rows for w in t.split())
+    of = lambda w: int(lm_score.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+    assert found == {of(w): c for w, c in want.items()}
+    h, c = np.array(list(found), np.uint64), np.array(list(found.values()))
+    leaf, within = vocab.find(h, c)
+    at = np.full((len(h), 2 * lm_score.SIDE), vocab.leaves)
+    assert np.exp(net.log_probs(at, leaf) + within).sum() <= 1 + 1e-6  # over all words of the corpus
+    assert abs(np.bincount(leaf, np.exp(within))[np.unique(leaf)] - 1).max() < 1e-9
+    bigger = lm_score.Vocabulary(np.array([1, 50]), np.array([10**6, 10**5]))
+    assert bigger.leaves > 4 * vocab.leaves
+
+
 def test_pii_patterns_and_model():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
