@@ -78,12 +78,12 @@ def row_key() -> F.Column:
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and int64 offsets of a string column; null reads as empty."""
+    """Bytes and int64 offsets of a string or binary column; null reads as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string())
+    col = col.cast(pa.large_binary())
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"")
     n = len(col)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -93,6 +93,28 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary column whose row i holds values[cuts[i] : cuts[i + 1]]; no bytes are copied row by row."""
+    cuts = np.asarray(cuts, np.int64)
+    values = np.ascontiguousarray(values[cuts[0] : cuts[-1]] if len(cuts) else values[:0])
+    ends = (cuts - cuts[0]) * values.itemsize if len(cuts) else np.zeros(1, np.int64)
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a packed column must stay under 2 GB")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
+
+def unpacked(col: pa.Array | pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of a packed column, and where each row's begin and the last ends."""
+    data, offs = text_buffers(col)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data.tobytes(), kind), offs // size
+
+
+def one_row(values: np.ndarray) -> pa.Array:
+    """A binary column of one row that holds all values."""
+    return packed(values, np.array([0, len(values)]))
+
+
 def chunks(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows holding at most `most` bytes of text, or one row."""
     i, n = 0, len(offs) - 1

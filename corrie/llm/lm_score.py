@@ -1,144 +1,267 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word of a text from both sides.
 
-Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. All distinct words (by 64-bit hash) are counted exactly, in buckets
-of the hash spread over the cluster. A binary tree has 8 sqrt(V) leaves or more for V distinct words: frequent words have
-leaves of their own, by rank, and words of the same or similar counts share the others, in equal parts of the corpus. Two
-words on each side of the masked one are embedded by leaf, joined and put through a tanh layer, and each node of the tree
-on the way to the word's leaf is a logistic choice. So P(word | both sides) = P(leaf | both sides) * count / count of the
-leaf, and a text's score is the sum of its words' log-probabilities. A word that isn't in the corpus has half a count.
-
-Counts don't fit a task: each chunk of texts sends its distinct words to the buckets and gets their counts back by
-shuffle. The network is trained in numpy by all partitions side by side: in each of ROUNDS rounds every partition starts
-from the common network, takes one Adagrad pass over every word of its texts, and the results are averaged, weighted by
-words. Networks are summed in a tree of groups of FAN rows, packed by block, so no task holds more than FAN of them. The
-driver gets the sums, the leaves' own words and the number of words of each count.
+Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. The SIDE words on either side of the masked one are embedded,
+joined and put through a tanh layer, from which two softmaxes choose the masked word's unit: first one of GROUPS groups,
+then one of the group's MEMBERS. The OWN most frequent words are units of their own; any other word belongs to the unit
+of its ending (a hash of its last ENDING bytes, with a bound where it is shorter), which tells languages and word forms
+apart and is also known of words that the corpus doesn't hold. Within its unit a word has its share of the unit's
+occurrences: P(word | both sides) = P(unit | both sides) * count / count of the unit. A text's score is the sum of its
+words' log-probabilities. So the vocabulary, all distinct words (by 64-bit hash) with their exact counts, grows with the
+corpus, in buckets of the hash spread over the cluster, while the network's size is constant. Over the words of the
+corpus the probabilities add up to 1; a word that isn't in the corpus counts as half an occurrence of its unit.
+
+How it runs:
+
+1. Documents are dealt into shards of about SHARD_BYTES by a hash of the row, and ordered by it. A shard is tokenised
+   once: its sorted distinct hashes with counts, each word's place among them, and each distinct word's ending.
+2. Distinct hashes and counts go to their buckets, which add them up and send the sums back to each shard.
+3. The shard turns words into units, and keeps two bytes a word and each text's sum of log counts. Everything after
+   this reads that table, not the texts.
+4. Training starts from the units' own frequencies. In each of ROUNDS rounds every shard starts from the common network
+   and takes one Adagrad pass over every word; the shards' networks are averaged, weighted by words. A task sums its
+   shards' networks, and networks are summed in groups of FAN rows, packed by block, so no task holds more than FAN.
+
+Shards follow from the rows alone, so the network and the scores don't depend on how the table is partitioned (but for
+the rounding of sums). The driver gets the sums, at most OWN words and the number of words of each count.
 
 Edge cases: a null, empty or word-free text has n_tokens 0 and scores of 0; a corpus without words leaves the network as
-it starts; rows are scored one by one, so repeated rows agree; an empty table gives no rows; other columns pass.
+it starts; rows are scored one by one, so repeated rows agree; a text longer than SHARD_BYTES is a shard of its own size,
+held and trained whole by one task; an empty table gives no rows; columns named n_tokens, logprob or mean_logprob are
+replaced, other columns pass.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, small_batches, table, text_buffers
+from .common import Scratch, one_row, packed, row_key, small_batches, table, text_buffers, unpacked
 from .textnp import LOWER, SPACE, prefix_hash, span_hash, words
 
 SIDE = 2
 DIM, HIDDEN = 8, 24
+GROUPS, MEMBERS = 64, 64
+UNITS = GROUPS * MEMBERS
+OWN = 1024
+ENDING = 3
 ROUNDS = 2
-BATCH = 1024
+BATCH = 2048
 RATE = 0.08
+SHARD_BYTES = 4 << 20
+SHARDS_A_BUCKET = 4
 BLOCKS, FAN = 8, 64
-PENDING = 1 << 21  # distinct words that a task holds before it sends their counts
+_OFFSETS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
-def hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and each text's offset into them."""
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash and the ending of each word, and each text's offset into them."""
     data = LOWER[data]
     starts, ends, wo = words(data, offs, ~SPACE)
     if not len(starts):
-        return np.zeros(0, np.uint64), wo
-    return span_hash(prefix_hash(data), starts, ends), wo
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint16), wo
+    c = prefix_hash(data)
+    short = ends - starts < ENDING
+    last = span_hash(c, np.where(short, starts, ends - ENDING), ends) + short
+    return span_hash(c, starts, ends), (last % np.uint64(UNITS - OWN)).astype(np.uint16), wo
 
 
-def _cuts(h: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n buckets begins in sorted hashes."""
-    return np.searchsorted((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+def _ending_unit(ending: np.ndarray) -> np.ndarray:
+    return ending % GROUPS * MEMBERS + OWN // GROUPS + ending // GROUPS
 
 
-def _merged(hs: list[np.ndarray], cs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, c = np.concatenate(hs), np.concatenate(cs)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    return h[first], np.add.reduceat(c[order], first)
+def _buckets(h: np.ndarray, n: int) -> np.ndarray:
+    """The bucket, of n, of each hash; ascending for ascending hashes."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
-def count(docs: DataFrame, n: int) -> DataFrame:
-    """bucket, h and c: the sorted hashes and the counts of the distinct words of each of n buckets."""
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.r_[0, np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)] if len(x) else np.zeros(1, np.int64)
+
+
+# -- counting
+
+
+def _n_shards(docs: DataFrame) -> int:
+    return max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+
+
+def _tokenised(docs: DataFrame, n: int, cols: list[str]) -> DataFrame:
+    """A row for each shard: its rows' columns `cols`, word offsets, distinct hashes with counts and endings, and each word's place among them."""
+    key = row_key() if "doc_id" in docs.columns else F.xxhash64("text")
+    dealt = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)), F.col("text").alias("t"), key.alias("key"))
+    dealt = dealt.withColumn("shard", F.pmod("key", F.lit(n)))
+
+    def encode(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows.column("key").to_numpy(), kind="stable"))).combine_chunks()
+        h, ending, wo = tokens(*text_buffers(rows.column("t")))
+        h, first, at, c = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        sink = pa.BufferOutputStream()
+        kept = rows.select([f"c{i}" for i in range(len(cols))])
+        with pa.ipc.new_stream(sink, kept.schema) as w:
+            w.write_table(kept)
+        own = [pa.array([sink.getvalue().to_pybytes()], pa.binary()), *map(one_row, (wo, h, c, ending[first], at.astype("<u4")))]
+        return pa.table([rows.column("shard")[:1], *own], names=["shard", "kept", "wo", "h", "c", "ending", "at"])
+
+    return dealt.groupBy("shard").applyInArrow(encode, "shard long, kept binary, wo binary, h binary, c binary, ending binary, at binary")
+
+
+def _asked(shards: DataFrame, n: int) -> DataFrame:
+    """The shards' distinct hashes and counts, a row for each bucket that has some."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, shard in enumerate(batch.column("shard").to_pylist()):
+                h, c = (unpacked(batch.column(k).slice(i, 1), t)[0] for k, t in (("h", "<u8"), ("c", "<i8")))
+                b = _buckets(h, n)
+                cuts = _cuts(b)
+                yield pa.RecordBatch.from_arrays([pa.array(b[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, shard)), packed(h, cuts), packed(c, cuts)], ["bucket", "shard", "h", "c"])
+
+    return shards.select("shard", "h", "c").mapInArrow(deal, "bucket int, shard long, h binary, c binary")
+
+
+def _answers(asked: pa.Table, h: np.ndarray, own: np.ndarray, c: np.ndarray) -> pa.Table:
+    """The counts (c, of the hashes `own`) of what each row asks for."""
+    q, cuts = (h, unpacked(asked.column("h"), "<u8")[1]) if h is not None else unpacked(asked.column("h"), "<u8")
+    got = np.zeros(len(q), np.int64)
+    if len(own):
+        at = np.minimum(np.searchsorted(own, q), len(own) - 1)
+        got = np.where(own[at] == q, c[at], 0)
+    return pa.table([asked.column("bucket"), asked.column("shard"), packed(got.astype("<i8"), cuts)], names=["bucket", "shard", "c"])
+
+
+ANSWER = "bucket int, shard long, h binary, c binary"
+
+
+def _counted(asked: DataFrame) -> DataFrame:
+    """Rows of shard -1 are the vocabulary: a bucket's sorted hashes and their counts. The others are answers to shards."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        h, c = unpacked(rows.column("h"), "<u8")[0], unpacked(rows.column("c"), "<i8")[0]
+        order = np.argsort(h, kind="stable")
+        first = _cuts(h[order])[:-1]
+        own, total = h[order][first], np.add.reduceat(c[order], first)
+        got = _answers(rows, h, own, total)
+        vocab = pa.table([rows.column("bucket")[:1], pa.array([-1], pa.int64()), one_row(own), one_row(total)], names=["bucket", "shard", "h", "c"])
+        return pa.concat_tables([vocab, pa.table([got.column("bucket"), got.column("shard"), pa.nulls(len(got), pa.binary()), got.column("c")], names=["bucket", "shard", "h", "c"])])
+
+    return asked.groupBy("bucket").applyInArrow(add, ANSWER)
+
+
+def _looked_up(asked: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Answers to shards from a vocabulary."""
+
+    def answer(own: pa.Table, rows: pa.Table) -> pa.Table:
+        return _answers(rows, None, unpacked(own.column("h"), "<u8")[0], unpacked(own.column("c"), "<i8")[0])
+
+    found = vocab.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "bucket int, shard long, c binary")
+    return found.select("bucket", "shard", "c")
+
+
+def _own_words(vocab: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words, OWN at most, most frequent first: those of the highest counts that fit together."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, n = np.unique(unpacked(batch.column("c"), "<i8")[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["c", "n"])
+
+    by_count = vocab.select("c").mapInArrow(sizes, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("c")).limit(OWN).collect()
+    n, least = 0, None
+    for r in by_count:
+        n += r["n"]
+        if n > OWN:
+            break
+        least = r["c"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c = unpacked(batch.column("h"), "<i8")[0], unpacked(batch.column("c"), "<i8")[0]
+            yield pa.RecordBatch.from_arrays([pa.array(h[c >= least]), pa.array(c[c >= least])], ["h", "c"])
+
+    rows = vocab.select("h", "c").mapInArrow(frequent, "h long, c long").orderBy(F.desc("c"), "h").collect()
+    return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+
+
+def _tasks(spark: SparkSession, n_shards: int) -> int:
+    """Shards are little data and much work: one for each task up to twice the cores, then up to 8."""
+    return max(1, min(n_shards, max(2 * spark.sparkContext.defaultParallelism, -(-n_shards // 8))))
+
+
+def _coded(shards: DataFrame, answers: DataFrame, own: np.ndarray, n: int) -> DataFrame:
+    """A row for each shard: the columns kept, word offsets, each word's unit, each text's sum of log counts, and the words of each unit."""
+    by_hash = np.argsort(own)
+    sorted_own, own_unit = own[by_hash], (by_hash % GROUPS * MEMBERS + by_hash // GROUPS).astype(np.int64)
+
+    def code(rows: pa.Table, got: pa.Table) -> pa.Table:
+        got = got.sort_by("bucket")
+        h, ending, wo, at = (unpacked(rows.column(k), t)[0] for k, t in (("h", "<u8"), ("ending", "<u2"), ("wo", "<i8"), ("at", "<u4")))
+        c = unpacked(got.column("c"), "<i8")[0]
+        unit = _ending_unit(ending.astype(np.int64))
+        if len(sorted_own) and len(h):
+            i = np.minimum(np.searchsorted(sorted_own, h), len(sorted_own) - 1)
+            unit = np.where(sorted_own[i] == h, own_unit[i], unit)
+        total = np.r_[0.0, np.cumsum(np.log(np.maximum(c, 0.5))[at])]
+        units = unit.astype("<u2")[at]
+        return pa.table([rows.column("shard"), rows.column("kept"), rows.column("wo"), *map(one_row, (units, total[wo[1:]] - total[wo[:-1]]))], names=["shard", "kept", "wo", "unit", "log_counts"])
+
+    shards, answers = shards.repartition(n, "shard"), answers.repartition(n, "shard")
+    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(code, "shard long, kept binary, wo binary, unit binary, log_counts binary")
+
+
+def _mass(coded: DataFrame) -> np.ndarray:
+    """The words of the corpus in each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send() -> pa.RecordBatch:
-            h, c = _merged(hs, cs)
-            cut = _cuts(h, n)
-            some = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()) for x in (h, c))], ["bucket", "h", "c"])
-
-        hs, cs = [], []
-        held = 0
+        total = np.zeros(UNITS, np.int64)
         for batch in batches:
-            data, offs = text_buffers(batch.column("text"))
-            for i, j in chunks(offs):
-                h, c = np.unique(hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[0], return_counts=True)
-                if len(h):
-                    hs.append(h)
-                    cs.append(c.astype(np.int64))
-                    held += len(h)
-            if held > PENDING:
-                h, c = _merged(hs, cs)
-                hs, cs, held = [h], [c], len(h)
-                if held > PENDING // 2:
-                    yield send()
-                    hs, cs, held = [], [], 0
-        if hs:
-            yield send()
+            total += np.bincount(unpacked(batch.column("unit"), "<u2")[0], minlength=UNITS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["unit", "n"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, c = _merged([np.frombuffer(x, "<u8") for x in pdf["h"]], [np.frombuffer(x, "<i8") for x in pdf["c"]])
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "h": [h.tobytes()], "c": [c.tobytes()]})
-
-    kind = "bucket int, h binary, c binary"
-    return docs.select("text").mapInArrow(run, kind).groupBy("bucket").applyInPandas(add, kind)
-
-
-class Vocabulary:
-    """The leaves of words. values, sizes: each count, ascending, and the number of words that have it."""
-
-    def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.depth = max(6, math.ceil(math.log2(8 * math.sqrt(sizes.sum()) + 1)))
-        self.leaves = 1 << self.depth
-        shared = self.leaves // 8
-        own = np.cumsum(sizes[::-1])[::-1] <= self.leaves - shared  # these words are few enough for own leaves
-        self.least = int(values[own].min()) if own.any() else int(values.max(initial=0)) + 1
-        self.n_own = int(sizes[own].sum())
-        self.values, mass = values[~own], (values * sizes)[~own].astype(float)
-        self.leaf_of_value = self.n_own + ((np.cumsum(mass) - mass) / max(1.0, mass.sum()) * shared).astype(np.int64)
-        self.mass = np.bincount(self.leaf_of_value, mass, self.leaves)
-        self.own_h, self.own_leaf = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def own(self, h: np.ndarray, c: np.ndarray) -> None:
-        leaf = np.zeros(len(h), np.int64)
-        leaf[np.lexsort((h, -c))] = np.arange(len(h))
-        order = np.argsort(h)
-        self.own_h, self.own_leaf = h[order], leaf[order]
-
-    def find(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf and log-probability within it of words with these hashes and counts (0 for an unknown word)."""
-        leaf, within = np.full(len(h), self.n_own), np.full(len(h), math.log(0.5))
-        if len(self.values):
-            leaf = self.leaf_of_value[np.minimum(np.searchsorted(self.values, c), len(self.values) - 1)]
-            within = np.log(np.maximum(c, 0.5) / self.mass[leaf])
-        if len(self.own_h):
-            at = np.minimum(np.searchsorted(self.own_h, h), len(self.own_h) - 1)
-            ok = self.own_h[at] == h
-            leaf, within = np.where(ok, self.own_leaf[at], leaf), np.where(ok, 0.0, within)
-        return leaf, within
+    mass = np.zeros(UNITS)
+    for r in coded.select("unit").mapInArrow(run, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect():
+        mass[r["unit"]] = r["n"]
+    return mass
+
+
+# -- the network
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    """In place; the bound keeps sums finite and above 0."""
+    np.clip(z, -60, 60, out=z)
+    return np.exp(z, out=z)
 
 
 class Network:
-    def __init__(self, depth: int, seed: int = 1) -> None:
-        self.depth, self.leaves = depth, 1 << depth
+    """Parameters: e, embeddings of units (the last: beyond a text's bounds); w, b, the tanh layer; a, u, the choice of a group; o, v, that of a member.
+
+    Words of a batch run along the last axis, so that sums over choices add whole rows.
+    """
+
+    def __init__(self, mass: np.ndarray | None = None, seed: int = 1) -> None:
         g = np.random.default_rng(seed)
-        draw = lambda *s: (g.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"e": (g.standard_normal((self.leaves + 1, DIM)) * 0.3).astype(np.float32), "w": draw(2 * SIDE * DIM, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "o": np.zeros((self.leaves, HIDDEN), np.float32), "c": np.zeros(self.leaves, np.float32)}
+        share = np.full((GROUPS, MEMBERS), 1 / UNITS) if mass is None else ((mass + 0.5) / (mass + 0.5).sum()).reshape(GROUPS, MEMBERS)
+        inputs = 2 * SIDE * DIM
+        self.p = {
+            "e": (g.standard_normal((UNITS + 1, DIM)) * 0.3).astype(np.float32),
+            "w": (g.standard_normal((HIDDEN, inputs)) / np.sqrt(inputs)).astype(np.float32),
+            "b": np.zeros(HIDDEN, np.float32),
+            "a": np.zeros((GROUPS, HIDDEN), np.float32),
+            "u": np.log(share.sum(1)).astype(np.float32),
+            "o": np.zeros((GROUPS, MEMBERS, HIDDEN), np.float32),
+            "v": np.log(share / share.sum(1, keepdims=True)).astype(np.float32),
+        }
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
@@ -150,58 +273,83 @@ class Network:
             at += x.size
         return self
 
-    def _path(self, ctx: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The input, the tanh layer, and by depth and word: node, its weights, the choice there, the logit of choosing 1."""
-        x = self.p["e"][ctx].reshape(len(ctx), -1)
-        h = np.tanh(x @ self.p["w"] + self.p["b"])
-        at, up = (y + self.leaves)[None], np.arange(self.depth, 0, -1)[:, None]
-        nodes = at >> up
-        o = self.p["o"][nodes]
-        return x, h, nodes, o, (at >> (up - 1)) & 1, np.matmul(o.transpose(1, 0, 2), h[:, :, None])[:, :, 0].T + self.p["c"][nodes]
+    def _forward(self, ctx: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """ctx, y sorted by group of y: the input, the tanh layer, the logits of groups and of members, and where each group's words begin."""
+        p = self.p
+        x = p["e"][ctx].reshape(len(ctx), -1)
+        h = np.tanh(p["w"] @ x.T + p["b"][:, None])
+        first = p["a"] @ h + p["u"][:, None]
+        cuts = np.searchsorted(y, np.arange(GROUPS + 1) * MEMBERS)
+        second = np.empty((MEMBERS, len(y)), np.float32)
+        for g in np.flatnonzero(np.diff(cuts)).tolist():
+            i, j = cuts[g], cuts[g + 1]
+            np.matmul(p["o"][g], h[:, i:j], out=second[:, i:j])
+            second[:, i:j] += p["v"][g][:, None]
+        return x, h, first, second, cuts
 
     def log_probs(self, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
-        *_, bit, z = self._path(ctx, y)
-        return -np.logaddexp(0, np.where(bit, -z, z)).sum(0)
+        """Of the units y between their contexts."""
+        order = np.argsort(y.astype(np.uint16), kind="stable")
+        y, at = y[order], np.arange(len(y))
+        _, _, first, second, _ = self._forward(ctx[order], y)
+        first, second = _exp(first), _exp(second)
+        out = np.empty(len(y))
+        out[order] = np.log(first[y // MEMBERS, at] / first.sum(0)) + np.log(second[y % MEMBERS, at] / second.sum(0))
+        return out
 
     def step(self, ctx: np.ndarray, y: np.ndarray, seen: dict[str, np.ndarray]) -> None:
-        order = np.argsort(y, kind="stable")  # so the nodes are sorted too
-        ctx, y = ctx[order], y[order]
-        x, h, nodes, o, bit, z = self._path(ctx, y)
-        g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - bit) / len(y)).astype(np.float32)
-        dh = np.matmul(g.T[:, None, :], o.transpose(1, 0, 2))[:, 0] * (1 - h * h)
-        nodes = nodes.ravel()
-        first = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
-        sparse = {"o": (nodes[first], np.add.reduceat((g[:, :, None] * h[None]).reshape(-1, HIDDEN), first, axis=0)), "c": (nodes[first], np.add.reduceat(g.ravel(), first))}
-        dx = (dh @ self.p["w"].T).reshape(-1, DIM)
-        order = np.argsort(ctx.ravel().astype(np.uint16 if self.leaves < 1 << 16 else np.uint32), kind="stable")
-        rows = ctx.ravel()[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        sparse["e"] = rows[first], np.add.reduceat(dx[order], first, axis=0)
-        for k, d in {"w": x.T @ dh, "b": dh.sum(0)}.items():
+        """One Adagrad step for a batch; seen: the sums of squared gradients."""
+        order = np.argsort(y.astype(np.uint16), kind="stable")
+        ctx, y, at = ctx[order], y[order], np.arange(len(y))
+        p, n = self.p, np.float32(len(y))
+        x, h, first, second, cuts = self._forward(ctx, y)
+        for z, target in ((first, y // MEMBERS), (second, y % MEMBERS)):
+            _exp(z)
+            z *= 1 / (n * z.sum(0))
+            z[target, at] -= 1 / n
+        grad = {"a": first @ h.T, "u": first.sum(1), "o": np.zeros_like(p["o"]), "v": np.zeros_like(p["v"])}
+        dh = p["a"].T @ first
+        some = np.flatnonzero(np.diff(cuts))
+        for g in some.tolist():
+            i, j = cuts[g], cuts[g + 1]
+            part = second[:, i:j]
+            np.matmul(part, h[:, i:j].T, out=grad["o"][g])
+            dh[:, i:j] += p["o"][g].T @ part
+        if len(some):
+            grad["v"][some] = np.add.reduceat(second, cuts[some], axis=1).T
+        dh *= 1 - h * h
+        grad["w"], grad["b"] = dh @ x, dh.sum(1)
+        dx = (dh.T @ p["w"]).reshape(-1, DIM)
+        rows = ctx.ravel().astype(np.uint16)
+        by = np.argsort(rows, kind="stable")
+        rows = rows[by]
+        cut = _cuts(rows)[:-1]
+        rows, d = rows[cut], np.add.reduceat(dx[by], cut, axis=0)
+        sums = seen["e"][rows] + d * d
+        seen["e"][rows] = sums
+        p["e"][rows] -= RATE * d / (np.sqrt(sums) + 1e-6)
+        for k, d in grad.items():
             seen[k] += d * d
-            self.p[k] -= RATE * d / (np.sqrt(seen[k]) + 1e-6)
-        for k, (rows, d) in sparse.items():
-            sums = seen[k][rows] + d * d
-            seen[k][rows] = sums
-            self.p[k][rows] -= RATE * d / (np.sqrt(sums) + 1e-6)
+            size = np.sqrt(seen[k])
+            size += 1e-6
+            d /= size
+            d *= RATE
+            p[k] -= d
 
 
-def contexts(row: np.ndarray, wo: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
-    """The leaves of the words around those at `at`; beyond a text's bounds stands `none`."""
-    text = np.searchsorted(wo, at, "right") - 1
-    lo, hi = wo[text], wo[text + 1]
-    out = np.full((len(at), 2 * SIDE), none)
-    for c, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        i = at + d
-        ok = (i >= lo) & (i < hi)
-        out[ok, c] = row[i[ok]]
-    return out
+def _padded(units: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units with SIDE bounds (UNITS) before and after every text, and each word's place among them."""
+    at = np.arange(len(units)) + SIDE * (np.repeat(np.arange(len(wo) - 1), np.diff(wo)) + 1)
+    out = np.full(len(units) + SIDE * len(wo), UNITS, np.int64)
+    out[at] = units
+    return out, at
 
 
 def _tree_sum(parts: DataFrame, n: int) -> np.ndarray:
     """parts: at (row), block, x (float64s); the sum of each block over n rows, joined."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
         total = np.frombuffer(pdf["x"].iloc[0], "<f8").copy()
         for x in pdf["x"].iloc[1:]:
             total += np.frombuffer(x, "<f8")
@@ -215,136 +363,115 @@ def _tree_sum(parts: DataFrame, n: int) -> np.ndarray:
             return np.concatenate([np.frombuffer(r["x"], "<f8") for r in rows]) if rows else np.zeros(0)
 
 
-def _found(scratch: Scratch, docs: DataFrame, vocab: Vocabulary, counts: DataFrame, n: int, cols: list[str], use, schema) -> DataFrame:  # noqa: ANN001
-    """What `use` makes of each chunk of docs: its columns `cols`, word offsets, and each word's leaf and share in it."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            data, offs = text_buffers(batch.column("text"))
-            for i, j in chunks(offs):
-                h = np.unique(hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[0])
-                cut = _cuts(h, n)
-                some = np.flatnonzero(np.diff(cut))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as w:
-                    w.write_batch(batch.slice(i, j - i))
-                x = [sink.getvalue().to_pybytes(), *(h[cut[b] : cut[b + 1]].tobytes() for b in some)]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(x), pa.int64()), pa.array([-1, *some], pa.int32()), pa.array(x, pa.binary())], ["chunk", "bucket", "x"])
-                at += 1
-
-    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
-        h, c = (np.concatenate([np.frombuffer(x, t) for x in own.column(k).to_pylist()] or [np.zeros(0, t)]) for k, t in (("h", "<u8"), ("c", "<i8")))
-        out = []
-        for x in asked.column("x").to_pylist():
-            q = np.frombuffer(x, "<u8")
-            got = np.zeros(len(q), np.int64)
-            if len(h):
-                i = np.minimum(np.searchsorted(h, q), len(h) - 1)
-                got = np.where(h[i] == q, c[i], 0)
-            out.append(got.astype("<i8").tobytes())
-        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "x": pa.array(out, pa.binary())})
-
-    def join(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("bucket")
-        x = rows.column("x").to_pylist()
-        part = pa.ipc.open_stream(x[0]).read_all().combine_chunks()
-        data, offs = text_buffers(part.column("text"))
-        h, wo = hashes(data, offs)
-        h, at = np.unique(h, return_inverse=True)
-        c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(y, "<i8") for y in x[1:])])
-        leaf, within = shared.value.find(h, c)
-        return use(part.select(cols), wo, leaf[at], within[at])
-
-    kind = "chunk long, bucket int, x binary"
-    sent = scratch.cut(docs.select(*dict.fromkeys([*cols, "text"])).mapInArrow(send, kind), "sent")
-    asked = sent.filter("bucket >= 0").groupBy("bucket")
-    got = counts.groupBy("bucket").cogroup(asked).applyInArrow(answer, kind)
-    return sent.filter("bucket < 0").union(got).repartition(n, "chunk").groupBy("chunk").applyInArrow(join, schema)
-
-
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, DataFrame, int, Network]:
-    """The vocabulary, its counts in a scratch table of so many buckets, and the network."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark)
-    n = max(1, docs.rdd.getNumPartitions())
-    counts = scratch.cut(count(docs, n), "counts")
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("c").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(y) for y in np.unique(np.frombuffer(x, "<i8"), return_counts=True)], ["c", "n"])
-
-    rows = counts.select("c").mapInArrow(sizes, "c long, n long").groupBy("c").agg({"n": "sum"}).collect()
-    size = np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, 2)
-    vocab = Vocabulary(size[:, 0], size[:, 1])
-    least = vocab.least
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in zip(batch.column("h").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                h, c = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(h[c >= least]), pa.array(c[c >= least])], ["h", "c"])
-
-    own = np.array([tuple(r) for r in counts.mapInArrow(frequent, "h long, c long").collect()], np.int64).reshape(-1, 2)
-    vocab.own(own[:, 0].view(np.uint64) if own.flags.f_contiguous else own[:, 0].copy().view(np.uint64), own[:, 1])
-    net = Network(vocab.depth)
-    none = vocab.leaves
-
-    def coded(part: pa.Table, wo: np.ndarray, leaf: np.ndarray, within: np.ndarray) -> pa.Table:
-        return pa.table({"wo": pa.array([wo.astype("<i8").tobytes()], pa.binary()), "leaf": pa.array([leaf.astype("<i4").tobytes()], pa.binary())})
-
-    texts = scratch.cut(_found(scratch, docs, vocab, counts, n, [], coded, "wo binary, leaf binary"), "coded").repartition(n)
-    scratch.drop("sent")
+def _fit(coded: DataFrame, net: Network, rounds: int) -> Network:
+    spark = coded.sparkSession
+    texts = coded.select("wo", "unit")
+    n = max(1, texts.rdd.getNumPartitions())
     for r in range(rounds):
         start = spark.sparkContext.broadcast(net.flat())
 
         def learn(batches: Iterator[pa.RecordBatch], r: int = r, start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            own, used = Network(none.bit_length() - 1).load(start.value), 0
-            seen = {k: np.full_like(x, 1e-4) for k, x in own.p.items()}
+            total = np.zeros(len(start.value) + 1)
             for batch in batches:
-                for x, y in zip(batch.column("wo").to_pylist(), batch.column("leaf").to_pylist(), strict=True):
-                    wo, leaf = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i4").astype(np.int64)
-                    at = np.random.default_rng(len(leaf) + r).permutation(len(leaf))
-                    for i in range(0, len(at), BATCH):
-                        part = at[i : i + BATCH]
-                        own.step(contexts(leaf, wo, part, none), leaf[part], seen)
-                    used += len(at)
-            parts = [p.astype("<f8").tobytes() for p in np.array_split(np.r_[own.flat().astype(np.float64) * used, used], BLOCKS)]
+                for i in range(batch.num_rows):
+                    wo, units = (unpacked(batch.column(k).slice(i, 1), t)[0] for k, t in (("wo", "<i8"), ("unit", "<u2")))
+                    if not len(units):
+                        continue
+                    own = Network().load(start.value)
+                    seen = {k: np.full_like(x, 1e-4) for k, x in own.p.items()}
+                    row, place = _padded(units, wo)
+                    place = np.random.default_rng(len(place) + r).permutation(place)
+                    for a in range(0, len(place), BATCH):
+                        part = place[a : a + BATCH]
+                        own.step(row[part[:, None] + _OFFSETS], row[part], seen)
+                    total[:-1] += own.flat().astype(np.float64) * len(units)
+                    total[-1] += len(units)
             at = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([at] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["at", "block", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([at] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, BLOCKS)], pa.binary())], ["at", "block", "x"])
 
         got = _tree_sum(texts.mapInArrow(learn, "at int, block int, x binary"), n)
         if len(got) and got[-1]:
-            net = Network(vocab.depth).load(got[:-1] / got[-1])
-    scratch.drop("coded")
-    return vocab, counts, n, net
+            net = Network().load(got[:-1] / got[-1])
+        start.unpersist()
+    return net
+
+
+# -- the operator
+
+
+@dataclass
+class Model:
+    """vocab: a scratch table of bucket, h and c; own: hashes of the words that are units; mass: the corpus's words of each unit."""
+
+    vocab: DataFrame
+    n_buckets: int
+    own: np.ndarray
+    mass: np.ndarray
+    net: Network
+
+
+NEW = ("n_tokens", "logprob", "mean_logprob")
+
+
+def _scored(coded: DataFrame, model: Model, docs: DataFrame, cols: list[str]) -> DataFrame:
+    shared = coded.sparkSession.sparkContext.broadcast((model.net, np.log(np.maximum(model.mass, 1.0))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, log_mass = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                wo, units, log_counts = (unpacked(batch.column(k).slice(i, 1), t)[0] for k, t in (("wo", "<i8"), ("unit", "<u2"), ("log_counts", "<f8")))
+                row, place = _padded(units, wo)
+                lp = -log_mass[units]
+                for a in range(0, len(place), 4 * BATCH):
+                    part = place[a : a + 4 * BATCH]
+                    lp[a : a + len(part)] += net.log_probs(row[part[:, None] + _OFFSETS], row[part])
+                total = np.r_[0.0, np.cumsum(lp)]
+                n, total = np.diff(wo), total[wo[1:]] - total[wo[:-1]] + log_counts
+                kept = pa.ipc.open_stream(batch.column("kept")[i].as_buffer()).read_all()
+                out = pa.table([*kept.columns, pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], names=[*cols, *NEW])
+                yield from out.to_batches(max_chunksize=1000)
+
+    schema = docs.select(*(f"`{c}`" for c in cols)).selectExpr("*", "CAST(0 AS LONG) AS n_tokens", "CAST(0 AS DOUBLE) AS logprob", "CAST(0 AS DOUBLE) AS mean_logprob").schema
+    return coded.select("kept", "wo", "unit", "log_counts").mapInArrow(run, schema)
+
+
+def _learned(docs: DataFrame, cols: list[str], rounds: int, scratch: Scratch) -> tuple[Model, DataFrame]:
+    """The model of a corpus, and the corpus as the model's units."""
+    small_batches(docs.sparkSession)
+    n_shards = _n_shards(docs)
+    n = max(8, -(-n_shards // SHARDS_A_BUCKET))
+    shards = scratch.cut(_tokenised(docs, n_shards, cols), "shards")
+    counted = scratch.cut(_counted(_asked(shards, n)), "counted")
+    vocab, answers = counted.filter("shard < 0").select("bucket", "h", "c"), counted.filter("shard >= 0").select("bucket", "shard", "c")
+    own = _own_words(vocab)
+    coded = scratch.cut(_coded(shards, answers, own, _tasks(docs.sparkSession, n_shards)), "coded")
+    scratch.drop("shards")
+    mass = _mass(coded)
+    return Model(vocab, n, own, mass, _fit(coded, Network(mass), rounds)), coded
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """From doc_id and text."""
+    return _learned(docs.select("doc_id", "text"), [], rounds, Scratch(docs.sparkSession))[0]
 
 
-def score(docs: DataFrame, model: tuple[Vocabulary, DataFrame, int, Network]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with n_tokens, logprob (sum) and mean_logprob."""
     small_batches(docs.sparkSession)
-    vocab, counts, buckets, net = model
-    shared = docs.sparkSession.sparkContext.broadcast(net)
-    new = ("n_tokens", "logprob", "mean_logprob")
-    cols = [c for c in docs.columns if c not in new]
+    scratch = Scratch(docs.sparkSession)
+    cols = [c for c in docs.columns if c not in NEW]
+    n_shards = _n_shards(docs)
+    shards = scratch.cut(_tokenised(docs, n_shards, cols), "shards")
+    coded = _coded(shards, _looked_up(_asked(shards, model.n_buckets), model.vocab), model.own, _tasks(docs.sparkSession, n_shards))
+    return _scored(coded, model, docs, cols)
 
-    def scored(part: pa.Table, wo: np.ndarray, leaf: np.ndarray, within: np.ndarray) -> pa.Table:
-        net, lp = shared.value, within.copy()
-        for a in range(0, len(leaf), 8192):
-            at = np.arange(a, min(a + 8192, len(leaf)))
-            lp[at] += net.log_probs(contexts(leaf, wo, at, net.leaves), leaf[at])
-        c = np.r_[0.0, np.cumsum(lp)]
-        n, total = np.diff(wo), c[wo[1:]] - c[wo[:-1]]
-        return pa.table([*(part.column(x) for x in cols), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], [*cols, *new])
 
-    docs = docs.select(*cols)
-    schema = docs.selectExpr("*", "CAST(0 AS LONG) AS n_tokens", "CAST(0 AS DOUBLE) AS logprob", "CAST(0 AS DOUBLE) AS mean_logprob").schema
-    return _found(Scratch(docs.sparkSession), docs, vocab, counts, buckets, cols, scored, schema)
+def score_corpus(docs: DataFrame, columns: list[str], rounds: int = ROUNDS) -> DataFrame:
+    """`columns` of docs with the scores that a model of docs itself gives; its texts are read and tokenised only once."""
+    model, coded = _learned(docs, columns, rounds, Scratch(docs.sparkSession))
+    return _scored(coded, model, docs, columns)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, train(docs))
+    return score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])

@@ -159,25 +159,88 @@ def test_lm_trains_on_every_position(spark):
     assert score > np.log(1 / 2)  # with every 8th word as a target, most words are never predicted
 
 
-def test_lm_counts_every_distinct_word(spark):
+def _words_hash(w):
+    return int(lm_score.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
+
+
+def test_lm_scores_by_brute_force(spark):
+    """Counts of all distinct words, chances that add up to 1, and scores word by word from the network's parameters."""
     g = np.random.default_rng(5)
-    often = [f"often{i}" for i in range(3000)]
-    rows = [(i, " ".join([*g.choice(often, 20), f"rare{i}"])) for i in range(3000)]
+    often = [f"often{i}" for i in range(1500)]
+    rows = [(i, " ".join([*g.choice(often, 20), f"rare{i}"])) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    vocab, counts, _, net = lm_score.train(df, rounds=1)
-    found = {}
-    for r in counts.collect():
-        found |= dict(zip(np.frombuffer(r["h"], "<u8").tolist(), np.frombuffer(r["c"], "<i8").tolist()))
+    model = lm_score.train(df, rounds=1)
+    counts = {}
+    for r in model.vocab.collect():
+        counts |= dict(zip(np.frombuffer(r["h"], "<u8").tolist(), np.frombuffer(r["c"], "<i8").tolist(), strict=True))
     want = Counter(w for _, t in rows for w in t.split())
-    of = lambda w: int(lm_score.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
-    assert found == {of(w): c for w, c in want.items()}
-    h, c = np.array(list(found), np.uint64), np.array(list(found.values()))
-    leaf, within = vocab.find(h, c)
-    at = np.full((len(h), 2 * lm_score.SIDE), vocab.leaves)
-    assert np.exp(net.log_probs(at, leaf) + within).sum() <= 1 + 1e-6  # over all words of the corpus
-    assert abs(np.bincount(leaf, np.exp(within))[np.unique(leaf)] - 1).max() < 1e-9
-    bigger = lm_score.Vocabulary(np.array([1, 50]), np.array([10**6, 10**5]))
-    assert bigger.leaves > 4 * vocab.leaves
+    assert counts == {_words_hash(w): c for w, c in want.items()}
+    own = model.own.tolist()
+    assert 0 < len(own) <= lm_score.OWN and min(counts[h] for h in own) > max(c for h, c in counts.items() if h not in own)
+
+    def unit(w):
+        h = _words_hash(w)
+        if h in own:
+            return own.index(h) % lm_score.GROUPS * lm_score.MEMBERS + own.index(h) // lm_score.GROUPS
+        ending = int(lm_score.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[1][0])
+        return ending % lm_score.GROUPS * lm_score.MEMBERS + lm_score.OWN // lm_score.GROUPS + ending // lm_score.GROUPS
+
+    mass = Counter()
+    for w, c in want.items():
+        mass[unit(w)] += c
+    assert {u: int(m) for u, m in enumerate(model.mass) if m} == mass
+    p = {k: v.astype(float) for k, v in model.net.p.items()}
+
+    def chances(units, i):
+        ctx = [units[j] if 0 <= j < len(units) else lm_score.UNITS for j in (i - 2, i - 1, i + 1, i + 2)]
+        h = np.tanh(p["w"] @ np.concatenate([p["e"][c] for c in ctx]) + p["b"])
+        first = np.exp(p["a"] @ h + p["u"])
+        second = np.exp(p["o"] @ h + p["v"])
+        return (first / first.sum())[:, None] * second / second.sum(1, keepdims=True)
+
+    texts = [rows[0], rows[1], (3000, "often1 unseen  Often2\nrare7"), (3001, "often1"), (3002, "")]
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, t in texts:
+        ws = t.lower().split()
+        units = [unit(w) for w in ws]
+        total = 0.0
+        for j, w in enumerate(ws):
+            every = chances(units, j)
+            assert abs(every.sum() - 1) < 1e-6
+            total += np.log(every.ravel()[units[j]] * max(want[w], 0.5) / max(mass[units[j]], 1))
+        assert got[i]["n_tokens"] == len(ws) and abs(got[i]["logprob"] - total) < 1e-3 * max(1, len(ws))
+        assert abs(got[i]["mean_logprob"] * len(ws) - got[i]["logprob"]) < 1e-6
+
+
+def test_lm_gradient():
+    g, net = np.random.default_rng(6), lm_score.Network()
+    net.p = {k: (v + g.standard_normal(v.shape) * 0.3).astype(np.float64) for k, v in net.p.items()}
+    ctx, y = g.integers(0, lm_score.UNITS + 1, (50, 4)), g.integers(0, 200, 50)
+    before, seen = {k: v.copy() for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
+    net.step(ctx, y, seen)
+    net.p = before
+    for k, v in before.items():
+        at = tuple(int(i) for i in np.argwhere(seen[k] == seen[k].max())[0])
+        old, loss = v[at], []
+        for d in (1e-4, -1e-4):
+            v[at] = old + d
+            loss.append(-net.log_probs(ctx, y).mean())
+        v[at] = old
+        assert abs(abs(loss[0] - loss[1]) / 2e-4 - np.sqrt(seen[k][at])) < 1e-3, k
+
+
+def test_lm_gains_over_unigrams_and_ignores_partitions(spark):
+    """On documents that it hasn't seen, against the same model untrained, which gives unigrams."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    mean = lambda df: df.agg(F.sum("logprob") / F.sum("n_tokens")).first()[0]
+    train, test = docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0")
+    model = lm_score.train(train.repartition(1))
+    one = {r["doc_id"]: r["logprob"] for r in lm_score.score(test, model).collect()}
+    again = {r["doc_id"]: r["logprob"] for r in lm_score.score(test.repartition(8), lm_score.train(train.repartition(8))).collect()}
+    assert one.keys() == again.keys() and all(abs(one[k] - again[k]) < 1e-3 * max(1, abs(one[k])) ** 0.5 for k in one)
+    trained = mean(lm_score.score(test, model))
+    model.net = lm_score.Network(model.mass)
+    assert trained > mean(lm_score.score(test, model)) + 0.3
 
 
 def test_pii_patterns_and_model():
