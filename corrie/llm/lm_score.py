@@ -52,8 +52,8 @@ UNITS = GROUPS * MEMBERS
 OWN = 1024
 ENDING = 3
 ROUNDS = 2
-BATCH = 2048
-RATE = 0.08
+BATCH = 4096
+RATE = 0.2
 SHARD_BYTES = 4 << 20
 SHARDS_A_BUCKET = 4
 BLOCKS, FAN = 8, 64
@@ -244,9 +244,9 @@ def _exp(z: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters: e, embeddings of units (the last: beyond a text's bounds); w, b, the tanh layer; a, u, the choice of a group; o, v, that of a member.
+    """Parameters: e, embeddings of units (the last: beyond a text's bounds); w, b, the tanh layer; a, the choice of a group; o, that of a member.
 
-    Words of a batch run along the last axis, so that sums over choices add whole rows.
+    The last rows of a and of each group's o are biases: the tanh layer's last output is always 1.
     """
 
     def __init__(self, mass: np.ndarray | None = None, seed: int = 1) -> None:
@@ -255,13 +255,13 @@ class Network:
         inputs = 2 * SIDE * DIM
         self.p = {
             "e": (g.standard_normal((UNITS + 1, DIM)) * 0.3).astype(np.float32),
-            "w": (g.standard_normal((HIDDEN, inputs)) / np.sqrt(inputs)).astype(np.float32),
+            "w": (g.standard_normal((inputs, HIDDEN)) / np.sqrt(inputs)).astype(np.float32),
             "b": np.zeros(HIDDEN, np.float32),
-            "a": np.zeros((GROUPS, HIDDEN), np.float32),
-            "u": np.log(share.sum(1)).astype(np.float32),
-            "o": np.zeros((GROUPS, MEMBERS, HIDDEN), np.float32),
-            "v": np.log(share / share.sum(1, keepdims=True)).astype(np.float32),
+            "a": np.zeros((HIDDEN + 1, GROUPS), np.float32),
+            "o": np.zeros((GROUPS, HIDDEN + 1, MEMBERS), np.float32),
         }
+        self.p["a"][-1] = np.log(share.sum(1))
+        self.p["o"][:, -1] = np.log(share / share.sum(1, keepdims=True))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
@@ -274,60 +274,51 @@ class Network:
         return self
 
     def _forward(self, ctx: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-        """ctx, y sorted by group of y: the input, the tanh layer, the logits of groups and of members, and where each group's words begin."""
-        p = self.p
-        x = p["e"][ctx].reshape(len(ctx), -1)
-        h = np.tanh(p["w"] @ x.T + p["b"][:, None])
-        first = p["a"] @ h + p["u"][:, None]
+        """ctx, y sorted by group of y: the input, the tanh layer, e to the logits of groups and of members, their sums, and where each group's words begin."""
+        p, n = self.p, len(y)
+        x = p["e"][ctx].reshape(n, -1)
+        h = np.ones((n, HIDDEN + 1), x.dtype)
+        np.tanh(x @ p["w"] + p["b"], out=h[:, :-1])
+        first = _exp(h @ p["a"])
         cuts = np.searchsorted(y, np.arange(GROUPS + 1) * MEMBERS)
-        second = np.empty((MEMBERS, len(y)), np.float32)
+        second = np.empty((n, MEMBERS), x.dtype)
         for g in np.flatnonzero(np.diff(cuts)).tolist():
             i, j = cuts[g], cuts[g + 1]
-            np.matmul(p["o"][g], h[:, i:j], out=second[:, i:j])
-            second[:, i:j] += p["v"][g][:, None]
-        return x, h, first, second, cuts
+            np.matmul(h[i:j], p["o"][g], out=second[i:j])
+        _exp(second)
+        return x, h, first, second, first @ np.ones(GROUPS, x.dtype), second @ np.ones(MEMBERS, x.dtype), cuts
 
     def log_probs(self, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Of the units y between their contexts."""
         order = np.argsort(y.astype(np.uint16), kind="stable")
         y, at = y[order], np.arange(len(y))
-        _, _, first, second, _ = self._forward(ctx[order], y)
-        first, second = _exp(first), _exp(second)
+        _, _, first, second, sum1, sum2, _ = self._forward(ctx[order], y)
         out = np.empty(len(y))
-        out[order] = np.log(first[y // MEMBERS, at] / first.sum(0)) + np.log(second[y % MEMBERS, at] / second.sum(0))
+        out[order] = np.log(first[at, y // MEMBERS] / sum1) + np.log(second[at, y % MEMBERS] / sum2)
         return out
 
     def step(self, ctx: np.ndarray, y: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         """One Adagrad step for a batch; seen: the sums of squared gradients."""
         order = np.argsort(y.astype(np.uint16), kind="stable")
         ctx, y, at = ctx[order], y[order], np.arange(len(y))
-        p, n = self.p, np.float32(len(y))
-        x, h, first, second, cuts = self._forward(ctx, y)
-        for z, target in ((first, y // MEMBERS), (second, y % MEMBERS)):
-            _exp(z)
-            z *= 1 / (n * z.sum(0))
-            z[target, at] -= 1 / n
-        grad = {"a": first @ h.T, "u": first.sum(1), "o": np.zeros_like(p["o"]), "v": np.zeros_like(p["v"])}
-        dh = p["a"].T @ first
-        some = np.flatnonzero(np.diff(cuts))
-        for g in some.tolist():
+        p, n = self.p, len(y)
+        x, h, first, second, sum1, sum2, cuts = self._forward(ctx, y)
+        for z, total, target in ((first, sum1, y // MEMBERS), (second, sum2, y % MEMBERS)):
+            z *= (1 / (n * total))[:, None]
+            z[at, target] -= 1 / n
+        grad = {"a": h.T @ first, "o": np.zeros_like(p["o"])}
+        dh, more = first @ p["a"].T, np.empty_like(h)
+        for g in np.flatnonzero(np.diff(cuts)).tolist():
             i, j = cuts[g], cuts[g + 1]
-            part = second[:, i:j]
-            np.matmul(part, h[:, i:j].T, out=grad["o"][g])
-            dh[:, i:j] += p["o"][g].T @ part
-        if len(some):
-            grad["v"][some] = np.add.reduceat(second, cuts[some], axis=1).T
-        dh *= 1 - h * h
-        grad["w"], grad["b"] = dh @ x, dh.sum(1)
-        dx = (dh.T @ p["w"]).reshape(-1, DIM)
-        rows = ctx.ravel().astype(np.uint16)
-        by = np.argsort(rows, kind="stable")
-        rows = rows[by]
-        cut = _cuts(rows)[:-1]
-        rows, d = rows[cut], np.add.reduceat(dx[by], cut, axis=0)
-        sums = seen["e"][rows] + d * d
-        seen["e"][rows] = sums
-        p["e"][rows] -= RATE * d / (np.sqrt(sums) + 1e-6)
+            np.matmul(h[i:j].T, second[i:j], out=grad["o"][g])
+            np.matmul(second[i:j], p["o"][g].T, out=more[i:j])
+        dh += more
+        dh *= 1 - h * h  # 0 for the constant
+        dh = dh[:, :-1]
+        grad["w"], grad["b"] = x.T @ dh, dh.sum(0)
+        dx = (p["w"] @ dh.T).reshape(2 * SIDE, DIM, n)
+        rows = ctx.T.ravel()
+        grad["e"] = np.stack([np.bincount(rows, dx[:, d].ravel(), UNITS + 1) for d in range(DIM)], 1).astype(x.dtype)
         for k, d in grad.items():
             seen[k] += d * d
             size = np.sqrt(seen[k])
@@ -423,8 +414,8 @@ def _scored(coded: DataFrame, model: Model, docs: DataFrame, cols: list[str]) ->
                 wo, units, log_counts = (unpacked(batch.column(k).slice(i, 1), t)[0] for k, t in (("wo", "<i8"), ("unit", "<u2"), ("log_counts", "<f8")))
                 row, place = _padded(units, wo)
                 lp = -log_mass[units]
-                for a in range(0, len(place), 4 * BATCH):
-                    part = place[a : a + 4 * BATCH]
+                for a in range(0, len(place), 2 * BATCH):
+                    part = place[a : a + 2 * BATCH]
                     lp[a : a + len(part)] += net.log_probs(row[part[:, None] + _OFFSETS], row[part])
                 total = np.r_[0.0, np.cumsum(lp)]
                 n, total = np.diff(wo), total[wo[1:]] - total[wo[:-1]] + log_counts

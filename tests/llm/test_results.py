@@ -193,9 +193,9 @@ def test_lm_scores_by_brute_force(spark):
 
     def chances(units, i):
         ctx = [units[j] if 0 <= j < len(units) else lm_score.UNITS for j in (i - 2, i - 1, i + 1, i + 2)]
-        h = np.tanh(p["w"] @ np.concatenate([p["e"][c] for c in ctx]) + p["b"])
-        first = np.exp(p["a"] @ h + p["u"])
-        second = np.exp(p["o"] @ h + p["v"])
+        h = np.r_[np.tanh(np.concatenate([p["e"][c] for c in ctx]) @ p["w"] + p["b"]), 1.0]
+        first = np.exp(h @ p["a"])
+        second = np.exp(h @ p["o"])
         return (first / first.sum())[:, None] * second / second.sum(1, keepdims=True)
 
     texts = [rows[0], rows[1], (3000, "often1 unseen  Often2\nrare7"), (3001, "often1"), (3002, "")]
