@@ -86,6 +86,15 @@ def _cuts(x: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)] if len(x) else np.zeros(1, np.int64)
 
 
+def _planes(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower two bytes of numbers, and the rest in one byte where that is enough."""
+    return at.astype("<u2"), (at >> 16).astype("u1" if at.max(initial=0) < 1 << 24 else "<u4")
+
+
+def _joined(low: np.ndarray, high: bytes) -> np.ndarray:
+    return low + (np.frombuffer(high, "u1" if len(high) == len(low) else "<u4").astype(np.int64) << 16)
+
+
 # -- counting
 
 
@@ -107,10 +116,10 @@ def _tokenised(docs: DataFrame, n: int, cols: list[str]) -> DataFrame:
         kept = rows.select([f"c{i}" for i in range(len(cols))])
         with pa.ipc.new_stream(sink, kept.schema) as w:
             w.write_table(kept)
-        own = [pa.array([sink.getvalue().to_pybytes()], pa.binary()), *map(one_row, (wo, h, c, ending[first], at.astype("<u4")))]
-        return pa.table([rows.column("shard")[:1], *own], names=["shard", "kept", "wo", "h", "c", "ending", "at"])
+        own = [pa.array([sink.getvalue().to_pybytes()], pa.binary()), *map(one_row, (wo, h, c, ending[first], *_planes(at)))]
+        return pa.table([rows.column("shard")[:1], *own], names=["shard", "kept", "wo", "h", "c", "ending", "low", "high"])
 
-    return dealt.groupBy("shard").applyInArrow(encode, "shard long, kept binary, wo binary, h binary, c binary, ending binary, at binary")
+    return dealt.groupBy("shard").applyInArrow(encode, "shard long, kept binary, wo binary, h binary, c binary, ending binary, low binary, high binary")
 
 
 def _asked(shards: DataFrame, n: int) -> DataFrame:
@@ -202,20 +211,26 @@ def _coded(shards: DataFrame, answers: DataFrame, own: np.ndarray, n: int) -> Da
     by_hash = np.argsort(own)
     sorted_own, own_unit = own[by_hash], (by_hash % GROUPS * MEMBERS + by_hash // GROUPS).astype(np.int64)
 
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each distinct word's unit takes the place of its hash and ending before the shuffle."""
+        for batch in batches:
+            h, cuts = unpacked(batch.column("h"), "<u8")
+            unit = _ending_unit(unpacked(batch.column("ending"), "<u2")[0].astype(np.int64))
+            if len(sorted_own) and len(h):
+                i = np.minimum(np.searchsorted(sorted_own, h), len(sorted_own) - 1)
+                unit = np.where(sorted_own[i] == h, own_unit[i], unit)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("shard", "kept", "wo", "low", "high")), packed(unit.astype("<u2"), cuts)], ["shard", "kept", "wo", "low", "high", "unit"])
+
     def code(rows: pa.Table, got: pa.Table) -> pa.Table:
         got = got.sort_by("bucket")
-        h, ending, wo, at = (unpacked(rows.column(k), t)[0] for k, t in (("h", "<u8"), ("ending", "<u2"), ("wo", "<i8"), ("at", "<u4")))
-        c = unpacked(got.column("c"), "<i8")[0]
-        unit = _ending_unit(ending.astype(np.int64))
-        if len(sorted_own) and len(h):
-            i = np.minimum(np.searchsorted(sorted_own, h), len(sorted_own) - 1)
-            unit = np.where(sorted_own[i] == h, own_unit[i], unit)
+        unit, wo, low = (unpacked(rows.column(k), t)[0] for k, t in (("unit", "<u2"), ("wo", "<i8"), ("low", "<u2")))
+        at, c = _joined(low, rows.column("high")[0].as_py()), unpacked(got.column("c"), "<i8")[0]
         total = np.r_[0.0, np.cumsum(np.log(np.maximum(c, 0.5))[at])]
-        units = unit.astype("<u2")[at]
-        return pa.table([rows.column("shard"), rows.column("kept"), rows.column("wo"), *map(one_row, (units, total[wo[1:]] - total[wo[:-1]]))], names=["shard", "kept", "wo", "unit", "log_counts"])
+        return pa.table([rows.column("shard"), rows.column("kept"), rows.column("wo"), *map(one_row, (unit[at], total[wo[1:]] - total[wo[:-1]]))], names=["shard", "kept", "wo", "unit", "log_counts"])
 
-    shards, answers = shards.repartition(n, "shard"), answers.repartition(n, "shard")
-    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(code, "shard long, kept binary, wo binary, unit binary, log_counts binary")
+    named = shards.mapInArrow(name, "shard long, kept binary, wo binary, low binary, high binary, unit binary")
+    named, answers = named.repartition(n, "shard"), answers.repartition(n, "shard")
+    return named.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(code, "shard long, kept binary, wo binary, unit binary, log_counts binary")
 
 
 def _mass(coded: DataFrame) -> np.ndarray:
