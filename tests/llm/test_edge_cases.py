@@ -1,6 +1,7 @@
 """Nulls in any column, empty and very long texts, ties and repeated rows, empty tables, extra columns with clashing names."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,23 @@ def test_html_keeps_the_whole_article():
     assert html_extract.main_text(f"{menu}<h1><a href=x>Title</a></h1><p>{long}</p><p><a href=x>Read on</a></p>{menu}") == f"Title {long} Read on"
 
 
+def test_html_names_of_ordinary_pages():
+    body = "<p>Some words about a river and the stones in it.</p>"
+    kept = "Some words about a river and the stones in it."
+    for attrs in ('class="post has-sidebar"', 'id="side-effects"', 'class="entry ad-free"', 'class=commentary'):
+        assert html_extract.main_text(f"<article {attrs}>{body}</article>") == kept
+        assert html_extract.main_text(f"<article><section {attrs}>{body}</section></article>") == kept
+    for attrs in ('class="ad"', 'class="comment-list"', 'id=cookieBanner', 'role="navigation"', 'class="x share-buttons"'):
+        assert html_extract.main_text(f"<article>{body}<div {attrs}><p>Buy this.</p></div></article>") == kept
+
+
+def test_html_takes_linear_time():
+    for unit in ("<p><b>x<i></p>", "<a ", '<a "', "<a '\">", "<nav><article>x</article>", "<div>x", "<!--", "<b></i>"):
+        began = time.time()
+        html_extract.main_text(unit * 100_000)
+        assert time.time() - began < 10, unit  # in quadratic time, minutes
+
+
 def test_top_k(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 0.0]), (50, []), (100, []), (None, [9.0, 9.0]), (150, [-0.5, 0.001])]
