@@ -7,19 +7,24 @@ How the work is kept near the size of the input, without losing a link:
 
 1. Shingles are counted. A linked document shares at least THRESHOLD percent of its shingles with other documents, so
    only documents with as many shared shingles go on. Shingles travel as packed sorted arrays, one row for each bucket
-   of hashes and block of documents; the bucket's answer is packed the same way.
+   of hashes and block of documents; the bucket's answer is packed the same way. What a block can tell alone isn't sent:
+   a shingle that two of its documents hold is shared, and the bucket only gets two marks of it, so a shingle that all
+   documents hold sends two marks a block, not one a document.
 2. Documents with equal sets become one class.
-3. Classes meet in shards by a min-hash of their sets (hot shards are split at random into parts of at most about CAP
-   classes). A shard is searched by T-occurrence search: the inverted lists of a query's shingles are divided into long
-   and short ones, the short ones are merged on a heap that skips, the long ones are probed by binary search. Jaccard
-   distance is a metric, so a query only searches the members of clusters whose leader has half of its shingles.
+3. Classes meet in shards by a min-hash of their sets; a shard of more than CAP classes is split at random into parts of
+   about CAP, which are groups of their own. A part is searched by T-occurrence search: the inverted lists of a query's
+   shingles are divided into long and short ones, the short ones are merged on a heap that skips, the long ones are
+   probed by binary search. Jaccard distance is a metric, so a query only searches the members of clusters whose leader
+   has half of its shingles.
 4. Links so far give components. Step 1 is repeated with components in place of documents: only documents with THRESHOLD
-   percent of their shingles in other components can have a link that is still missing. Those are searched in parts of
-   the universe of shingles: a pair that links has, in at least one part, an intersection of THRESHOLD percent of the
-   union of its shingles there. T-occurrence search finds such pairs part by part, whole sets verify them.
+   percent of their shingles in other components can have a link that is still missing. Those are put in one order of
+   shingles, rare ones first by counts of SLOTS hash slots (any order that is the same for all is exact). Two of n and m
+   shingles that link have one of their n - ceil(0.75 n) + 1 and m - ceil(0.75 m) + 1 first shingles in common, so each
+   goes whole to the buckets of those. A bucket of more than PART_SHINGLES shingles is cut into blocks, and every two
+   blocks meet in a task of their own. T-occurrence search finds the links in a task; only a spanning forest comes out.
 
 So every pair of components that a link joins is joined, however large a group of copies is; copies aren't expanded into
-pairs.
+pairs. CAP, PART_SHINGLES and graph.ONE_TASK bound what a task holds; no result depends on them.
 
 Edge cases: null, empty and word-free texts have empty sets and link with nothing; fewer words than SHINGLE are one
 shingle; rows that agree in doc_id and text are one document with as many result rows; rows that share only a doc_id are
@@ -40,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, row_key, shield, small_batches, table, text_buffers
+from .common import Scratch, chunks, one_row, packed, row_key, shield, small_batches, table, text_buffers, unpacked
 from .graph import components
 from .textnp import LOWER, SPACE, mix, prefix_hash, span_hash, window_hash, words
 
@@ -49,8 +54,10 @@ THRESHOLD = 75
 CAP = 400
 BUCKET_BYTES = 16 << 20
 BLOCK_SHINGLES = 1 << 20
-BLOCK_DOCS = 1 << 16  # a document's number in a block takes two bytes
+BLOCK_DOCS = 1 << 16
 PART_SHINGLES = 1 << 20
+SLOTS = 1 << 16
+_LOW = np.int64(-1 << 63)
 #: Weight of a heap operation against a binary probe in DivideSkip's choice of the number of long lists.
 MU = 0.0085
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
@@ -188,13 +195,14 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def search_part(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
-    """Pairs of different components whose sets reach the similarity within this part of the universe.
+def search_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between components: a spanning forest of the components that links within the part join.
 
-    Clusters hold sets of one component, so the copies in it aren't searched one by one. whole: the part is the whole
-    universe; its pairs are links, so components that one of them has joined aren't searched any more.
+    Clusters hold sets of one component, so the copies in it aren't searched one by one, and components that a link has
+    joined aren't searched any more.
     """
-    ids, sizes, labels = pdf["r"].tolist(), pdf["n"].tolist(), pdf["label"].tolist()
+    pdf = pdf.drop_duplicates("r").sort_values("r")
+    ids, labels = pdf["r"].tolist(), pdf["label"].tolist()
     sets = [np.frombuffer(x, "<u8").tolist() for x in pdf["set"]]
     parent = {x: x for x in labels}
 
@@ -209,11 +217,11 @@ def search_part(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
     heads, members, inner = [], [], []
     out: list[tuple[int, int]] = []
 
-    def pair(q: int, x: int) -> None:
-        if 100 * min(sizes[x], sizes[q]) >= THRESHOLD * max(sizes[x], sizes[q]):
+    def join(q: int, x: int) -> None:
+        a, b = root(labels[q]), root(labels[x])
+        if a != b:
+            parent[a] = b
             out.append((ids[q], ids[x]))
-            if whole:
-                parent[root(labels[q])] = root(labels[x])
 
     for q, items in enumerate(sets):
         own = None
@@ -225,9 +233,9 @@ def search_part(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
             if labels[h] == labels[q]:
                 own = c if near and own is None else own
                 continue
-            if near and not (whole and root(labels[h]) == root(labels[q])):
-                pair(q, h)
-            if members[c] and not (whole and root(labels[h]) == root(labels[q])):
+            if near:
+                join(q, h)
+            if members[c] and root(labels[h]) != root(labels[q]):
                 if inner[c] is None:
                     inner[c] = (Index(), [])
                 index, held = inner[c]
@@ -235,7 +243,7 @@ def search_part(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
                     index.add(sets[x])
                     held.append(x)
                 for x, _ in index.search(items, THRESHOLD):
-                    pair(q, held[x])
+                    join(q, held[x])
         if own is None:
             alone.add(items)
             alone_ids.append(len(heads))
@@ -263,32 +271,48 @@ def _stored_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         yield *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "label")), [np.frombuffer(x, "<u8") for x in batch.column("set").to_pylist()]
 
 
+def _edges(b: np.ndarray, n: int) -> np.ndarray:
+    """The least hashes of buckets b, of n."""
+    b = b.astype(np.uint64) << np.uint64(32)
+    return (b + np.uint64(n - 1)) // np.uint64(n) << np.uint64(32)
+
+
 def shared_counts(rows: DataFrame, sets_of, n_buckets: int) -> DataFrame:
     """k, n and shared: of the n shingles of k, how many also occur under another label.
 
     rows has what `sets_of` reads. Rows of the same k count once in n; their shared counts may add up. Within a bucket
     32 bits of a hash travel, so a rare pair of different shingles counts as shared; a count is never below the true one.
     """
-    edges = np.array([-(-(b << 32) // n_buckets) << 32 for b in range(n_buckets)], np.uint64)
-
     shift = np.uint64(max(0, (-(-(1 << 64) // n_buckets) + (1 << 32)).bit_length() - 32))
 
     def pack(block: list[tuple[int, int, np.ndarray]], no: int) -> pa.RecordBatch:
+        """A row for each bucket: ks and labels of the documents that have shingles there, after two that only mark a shingle as shared; h and at, each shingle with its document. The last row tells what the block knows itself."""
         ks, labels = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.int64)
         ns = np.array([len(x[2]) for x in block], np.int64)
         h = np.concatenate([x[2] for x in block])
-        of = np.repeat(np.arange(len(block), dtype=np.uint32), ns)
+        of = np.repeat(np.arange(len(block)), ns)
+        order = np.argsort(h, kind="stable")
+        h, of = h[order], of[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        many = np.minimum.reduceat(labels[of], first) != np.maximum.reduceat(labels[of], first)
+        known = np.repeat(many, np.diff(np.r_[first, len(h)]))
+        local = np.bincount(of[known], minlength=len(block))
+        marked = h[first[many]]
+        h, of = np.concatenate([h[~known], marked, marked]), np.concatenate([of[~known] + 2, np.zeros(len(marked), int), np.ones(len(marked), int)])
         order = np.argsort(h, kind="stable")
         h, of = h[order], of[order]
-        cuts = np.r_[np.searchsorted(h, edges), len(h)]
-        bucket, cols = [n_buckets + no % n_buckets], [[b""], [ks.tobytes()], [ns.tobytes()], [b""]]
-        for b in range(n_buckets):
-            if cuts[b] < cuts[b + 1]:
-                own, at = np.unique(of[cuts[b] : cuts[b + 1]], return_inverse=True)
-                bucket.append(b)
-                for c, x in zip(cols, (((h[cuts[b] : cuts[b + 1]] - edges[b]) >> shift).astype("<u4"), ks[own], labels[own], at.astype("<u2")), strict=True):
-                    c.append(x.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "h", "ks", "labels", "at"])
+        bucket = (h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        some = bucket[cuts[:-1]].astype(np.int64)
+        row = np.repeat(np.arange(len(some)), np.diff(cuts))
+        own = np.concatenate([row << 17 | of, np.arange(len(some)) << 17, np.arange(len(some)) << 17 | 1])
+        held, at = np.unique(own, return_inverse=True)
+        held_cuts = np.searchsorted(held >> 17, np.arange(len(some) + 1))
+        doc = held & (1 << 17) - 1
+        at = at[: len(h)] - held_cuts[row]
+        cols = [packed(((h - np.repeat(_edges(some, n_buckets), np.diff(cuts))) >> shift).astype("<u4"), cuts), packed(np.r_[0, 0, ks][doc], held_cuts), packed(np.r_[_LOW, ~_LOW, labels][doc], held_cuts), packed(at.astype("<u4"), cuts)]
+        mine = [one_row(x) for x in (np.zeros(0, "<u4"), ks, ns, local)]
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[some, n_buckets + no % n_buckets], pa.int32()), *(pa.concat_arrays(x) for x in zip(cols, mine, strict=True))], ["bucket", "h", "ks", "labels", "at"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, no = [], 0, 0
@@ -303,42 +327,40 @@ def shared_counts(rows: DataFrame, sets_of, n_buckets: int) -> DataFrame:
         if block:
             yield pack(block, no + n_buckets // 2)
 
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["bucket"].iloc[0] >= n_buckets:
-            ks, ns = (np.concatenate([np.frombuffer(x, "<i8") for x in pdf[c]]) for c in ("ks", "labels"))
-            cs = np.zeros(len(ks), np.int64)
+    def answer(rows: pa.Table) -> pa.Table:
+        if rows.column("bucket")[0].as_py() >= n_buckets:
+            ks, ns, cs = (unpacked(rows.column(c), "<i8")[0] for c in ("ks", "labels", "at"))
         else:
-            tables = [np.frombuffer(x, "<i8") for x in pdf["ks"]]
-            base = np.cumsum([0, *map(len, tables)])
-            ks, labels = np.concatenate(tables), np.concatenate([np.frombuffer(x, "<i8") for x in pdf["labels"]])
-            of = np.concatenate([np.frombuffer(x, "<u2") + b for x, b in zip(pdf["at"], base, strict=False)])
-            h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["h"]])
+            ks, cuts = unpacked(rows.column("ks"), "<i8")
+            labels = unpacked(rows.column("labels"), "<i8")[0]
+            at, at_cuts = unpacked(rows.column("at"), "<u4")
+            of = at + np.repeat(cuts[:-1], np.diff(at_cuts))
+            h = unpacked(rows.column("h"), "<u4")[0]
             order = np.argsort(h, kind="stable")
             h, of = h[order], of[order]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             own = labels[of]
             many = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
             cs = np.bincount(of[np.repeat(many, np.diff(np.r_[first, len(h)]))], minlength=len(ks))
+            cs[cuts[:-1]] = cs[cuts[:-1] + 1] = 0  # the marks
             ks, cs = ks[cs > 0], cs[cs > 0]
             ns = np.zeros(len(ks), np.int64)
         to = ks % n_buckets
         order = np.argsort(to, kind="stable")
-        ks, ns, cs, to = ks[order], ns[order], cs[order], to[order]
-        cuts = np.searchsorted(to, np.arange(n_buckets + 1))
-        some = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
-        part = lambda x: [x[cuts[b] : cuts[b + 1]].astype("<i8").tobytes() for b in some]
-        return pd.DataFrame({"to": np.array(some, np.int32), "ks": part(ks), "ns": part(ns), "cs": part(cs)})
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        ks, ns, cs = (np.concatenate([np.frombuffer(x, "<i8") for x in pdf[c]]) for c in ("ks", "ns", "cs"))
+        to = to[order]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, np.int64)
+        return pa.table([pa.array(to[cuts[:-1]], pa.int32()), *(packed(x[order].astype("<i8"), cuts) for x in (ks, ns, cs))], names=["to", "ks", "ns", "cs"])
+
+    def total(rows: pa.Table) -> pa.Table:
+        ks, ns, cs = (unpacked(rows.column(c), "<i8")[0] for c in ("ks", "ns", "cs"))
         order = np.argsort(ks, kind="stable")
         ks, ns, cs = ks[order], ns[order], cs[order]
         first = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
-        return pd.DataFrame({"k": ks[first], "n": np.maximum.reduceat(ns, first), "shared": np.add.reduceat(cs, first)})
+        return pa.table([ks[first], np.maximum.reduceat(ns, first), np.add.reduceat(cs, first)], names=["k", "n", "shared"])
 
     sent = rows.mapInArrow(send, "bucket int, h binary, ks binary, labels binary, at binary")
-    answers = sent.groupBy("bucket").applyInPandas(answer, "to int, ks binary, ns binary, cs binary")
-    return answers.groupBy("to").applyInPandas(total, "k long, n long, shared long")
+    answers = sent.groupBy("bucket").applyInArrow(answer, "to int, ks binary, ns binary, cs binary")
+    return answers.groupBy("to").applyInArrow(total, "k long, n long, shared long")
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,6 +370,41 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(sign, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(m, pa.int64()) for m in mins), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "r", "n", *(f"m{i}" for i in range(len(SEEDS))), "set"])
 
 
+def first_shingles(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set of which one that links with it has at least one among its own, rare ones first."""
+    keep = len(s) - -(-THRESHOLD * len(s) // 100) + 1
+    return s[np.lexsort((s, counts[s % np.uint64(SLOTS)]))[:keep]]
+
+
+def _routed(left: DataFrame, n: int) -> DataFrame:
+    """part, r, label, set: each set of left (k, n, label, set) in every part where one that it links with may be."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount((unpacked(batch.column("set"), "<u8")[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    for r in left.select("set").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect() if n > 1 else ():
+        counts[r["slot"]] = r["n"]
+    shared = left.sparkSession.sparkContext.broadcast(counts)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(batch.column("set").to_pylist()):
+                to = np.unique(mix(first_shingles(np.frombuffer(raw, "<u8"), shared.value)) % np.uint64(n)).astype(np.int64) if n > 1 else np.zeros(1, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(to), *(pa.array([batch.column(c)[i].as_py()] * len(to), batch.schema.field(c).type) for c in batch.schema.names)], ["bucket", *batch.schema.names])
+
+    sizes = left.select("n", "set").mapInArrow(route, "bucket long, n long, set binary").groupBy("bucket").agg(F.sum("n").alias("size"))
+    blocks = sizes.select("bucket", F.ceil(F.col("size") / PART_SHINGLES).alias("blocks")).filter("blocks > 1")
+    own = left.mapInArrow(route, "bucket long, k long, n long, label long, set binary").join(blocks, "bucket", "left")
+    own = own.withColumn("mine", F.pmod(F.xxhash64("k", F.lit("block")), F.coalesce("blocks", F.lit(1))))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
+    return own.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"), F.col("k").alias("r"), "label", "set")
+
+
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """k (row_key()), n and comp for documents with a shingle: comp is equal within a group, null for no link."""
     spark = docs.sparkSession
@@ -365,8 +422,9 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     for i in range(len(SEEDS)):
         own = reps.select("r", "set", F.col(f"m{i}").alias("key"))
         sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        own = own.join(sizes, "key").select("r", "set", "key", F.pmod(F.xxhash64("r", F.lit(i)), F.ceil(F.col("c") / CAP)).alias("sub"))
-        own = own.groupBy("key", "sub").applyInPandas(search_shard, "a long, b long")
+        # The join has dealt rows by key; a part's own name makes a hot key's parts go to tasks of their own.
+        own = own.join(sizes, "key").select("r", "set", F.xxhash64("key", F.pmod(F.xxhash64("r", F.lit(i)), F.ceil(F.col("c") / CAP))).alias("part"))
+        own = own.groupBy("part").applyInPandas(search_shard, "a long, b long")
         found = own if found is None else found.union(own)
     found = scratch.cut(found, "links")
     comps = components(found, scratch, "first")
@@ -374,36 +432,12 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     left = reps.join(comps, F.col("r") == F.col("id"), "left").select(F.col("r").alias("k"), "n", F.coalesce("comp", "r").alias("label"), "set")
     left = scratch.cut(left, "left0")
     for i in range(2):
-        if i and (left.agg(F.sum("n")).first()[0] or 0) <= PART_SHINGLES:
-            break  # few enough for one search
         few = shared_counts(left, _stored_sets, n_buckets)
         few = few.filter(F.col("shared") * 100 >= F.col("n") * THRESHOLD).select("k")
         left = scratch.cut(left.join(few, "k", "leftsemi"), f"left{i + 1}")
     total = left.agg(F.sum("n")).first()[0] or 0
     if total:
-        n_parts = -(-total // PART_SHINGLES)
-
-        def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k, n, label, raw in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "label", "set")), strict=True):
-                    s = np.frombuffer(raw, "<u8")
-                    part = s % np.uint64(n_parts)
-                    own = np.unique(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *(pa.array([x] * len(own), pa.int64()) for x in (k, n, label)), pa.array([s[part == p].tobytes() for p in own], pa.binary())], ["part", "r", "n", "label", "set"])
-
-        pairs = left.mapInArrow(divide, "part long, r long, n long, label long, set binary").groupBy("part").applyInPandas(lambda pdf: search_part(pdf, n_parts == 1), "a long, b long").distinct()
-        sets = left.select("k", "set")
-        pairs = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    keep.append(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        more = pairs.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+        more = scratch.cut(_routed(left, -(-total // PART_SHINGLES)).groupBy("part").applyInPandas(search_part, "a long, b long"), "more")
         if more.limit(1).count():
             comps = components(found.union(more), scratch, "second")
     member = kept.groupBy("r").agg(F.count(F.lit(1)).alias("c"))

@@ -115,6 +115,37 @@ def test_jaccard_with_near_copies_and_chains(spark, monkeypatch):
     assert {d: min(ds) for ds in comp.values() for d in ds} == low
 
 
+def test_shared_counts_by_brute_force(spark, monkeypatch):
+    """Shingles under other labels, within a block of documents and across blocks, one of them in all documents."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 60)
+    g = np.random.default_rng(7)
+    pool = g.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+    rows = [(k, int(g.integers(0, 30)), sorted({int(pool[0]), *map(int, g.choice(pool, int(g.integers(0, 12))))})) for k in range(200)]
+    df = spark.createDataFrame([(k, label, bytearray(np.array(s, "<u8").tobytes())) for k, label, s in rows], "k long, label long, set binary").repartition(3)
+    labels = defaultdict(set)
+    for _, label, s in rows:
+        for x in s:
+            labels[x].add(label)
+    want = {k: (len(s), sum(len(labels[x]) > 1 for x in s)) for k, _, s in rows}
+    assert {r["k"]: (r["n"], r["shared"]) for r in jaccard.shared_counts(df, jaccard._stored_sets, 8).collect()} == want
+
+
+def test_last_search_isnt_drawn_together_by_common_shingles(spark, monkeypatch):
+    """Sets that share only what all share meet nowhere in numbers, and a bucket too large for a task is cut into blocks that still meet."""
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", 300)
+    g = np.random.default_rng(8)
+    alone = [[1, *map(int, g.integers(2, 1 << 62, 8))] for _ in range(300)]
+    family = list(range(100, 140))
+    near = [sorted({*family[:i], *family[i + 1 :]}) for i in range(40)]  # links with each other
+    df = spark.createDataFrame([(k, len(s), k, bytearray(np.array(sorted(s), "<u8").tobytes())) for k, s in enumerate(alone + near)], "k long, n long, label long, set binary")
+    routed = jaccard._routed(df, 12)
+    sizes = [r["count"] for r in routed.groupBy("part").count().collect()]
+    assert max(sizes) < 120
+    links = routed.groupBy("part").applyInPandas(jaccard.search_part, "a long, b long")
+    comps = {r["id"]: r["comp"] for r in components(links, Scratch(spark), "x").collect()}
+    assert comps == {k: 300 for k in range(300, 340)}
+
+
 def test_components_without_one_task(spark, monkeypatch):
     from corrie.llm import graph
 
