@@ -17,11 +17,12 @@ How the work is kept near the size of the input, without losing a link:
    probed by binary search. Jaccard distance is a metric, so a query only searches the members of clusters whose leader
    has half of its shingles.
 4. Links so far give components. Step 1 is repeated with components in place of documents: only documents with THRESHOLD
-   percent of their shingles in other components can have a link that is still missing. Those are put in one order of
-   shingles, rare ones first by counts of SLOTS hash slots (any order that is the same for all is exact). Two of n and m
-   shingles that link have one of their n - ceil(0.75 n) + 1 and m - ceil(0.75 m) + 1 first shingles in common, so each
-   goes whole to the buckets of those. A bucket of more than PART_SHINGLES shingles is cut into blocks, and every two
-   blocks meet in a task of their own. T-occurrence search finds the links in a task; only a spanning forest comes out.
+   percent of their shingles in other components can have a link that is still missing. Put a set's shingles in one
+   order that is the same for all sets, those that few of these sets hold first: two of n and m shingles that link have
+   one of their n - ceil(0.75 n) + 1 and m - ceil(0.75 m) + 1 first ones in common. So sets that have one of these in
+   common, directly or over others, make a part, and each set goes whole to its part, once. A part of more than
+   PART_SHINGLES shingles is cut into blocks, and every two blocks meet in a task of their own. T-occurrence search
+   finds the links in a task; only a spanning forest comes out.
 
 So every pair of components that a link joins is joined, however large a group of copies is; copies aren't expanded into
 pairs. CAP, PART_SHINGLES and graph.ONE_TASK bound what a task holds; no result depends on them.
@@ -42,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, one_row, packed, row_key, shield, small_batches, table, text_buffers, unpacked
@@ -56,7 +57,6 @@ BUCKET_BYTES = 16 << 20
 BLOCK_SHINGLES = 1 << 20
 BLOCK_DOCS = 1 << 16
 PART_SHINGLES = 1 << 20
-SLOTS = 1 << 16
 _LOW = np.int64(-1 << 63)
 #: Weight of a heap operation against a binary probe in DivideSkip's choice of the number of long lists.
 MU = 0.0085
@@ -370,39 +370,30 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(sign, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(m, pa.int64()) for m in mins), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "r", "n", *(f"m{i}" for i in range(len(SEEDS))), "set"])
 
 
-def first_shingles(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set of which one that links with it has at least one among its own, rare ones first."""
-    keep = len(s) - -(-THRESHOLD * len(s) // 100) + 1
-    return s[np.lexsort((s, counts[s % np.uint64(SLOTS)]))[:keep]]
+def _routed(left: DataFrame, scratch: Scratch) -> DataFrame:
+    """part, r, label, set of the sets of left (k, n, label, set) that may link: two that do are in one part together."""
 
-
-def _routed(left: DataFrame, n: int) -> DataFrame:
-    """part, r, label, set: each set of left (k, n, label, set) in every part where one that it links with may be."""
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            total += np.bincount((unpacked(batch.column("set"), "<u8")[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
-
-    counts = np.zeros(SLOTS, np.int64)
-    for r in left.select("set").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect() if n > 1 else ():
-        counts[r["slot"]] = r["n"]
-    shared = left.sparkSession.sparkContext.broadcast(counts)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in enumerate(batch.column("set").to_pylist()):
-                to = np.unique(mix(first_shingles(np.frombuffer(raw, "<u8"), shared.value)) % np.uint64(n)).astype(np.int64) if n > 1 else np.zeros(1, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(to), *(pa.array([batch.column(c)[i].as_py()] * len(to), batch.schema.field(c).type) for c in batch.schema.names)], ["bucket", *batch.schema.names])
-
-    sizes = left.select("n", "set").mapInArrow(route, "bucket long, n long, set binary").groupBy("bucket").agg(F.sum("n").alias("size"))
-    blocks = sizes.select("bucket", F.ceil(F.col("size") / PART_SHINGLES).alias("blocks")).filter("blocks > 1")
-    own = left.mapInArrow(route, "bucket long, k long, n long, label long, set binary").join(blocks, "bucket", "left")
-    own = own.withColumn("mine", F.pmod(F.xxhash64("k", F.lit("block")), F.coalesce("blocks", F.lit(1))))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
-    return own.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"), F.col("k").alias("r"), "label", "set")
+            h, cuts = unpacked(batch.column("set"), "<i8")
+            k, n = (np.repeat(batch.column(c).to_numpy(), np.diff(cuts)) for c in ("k", "n"))
+            for i in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (k, n, h)], ["k", "n", "h"])
+
+    held = left.select("k", "n", "set").mapInArrow(explode, "k long, n long, h long")
+    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # Shingles of one set alone come first in the order and lead nowhere; what is left of the first ones is taken here.
+    own = Window.partitionBy("k")
+    held = held.join(often, "h").withColumn("at", F.row_number().over(own.orderBy("c", "h")) + F.col("n") - F.count(F.lit(1)).over(own))
+    first = scratch.cut(held.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1).select("k", "h"), "first")
+    least = first.groupBy("h").agg(F.min("k").alias("a"))
+    together = components(first.join(least, "h").select("a", F.col("k").alias("b")), scratch, "near")
+
+    near = left.join(together, F.col("k") == F.col("id")).drop("id")
+    blocks = near.groupBy("comp").agg(F.ceil(F.sum("n") / PART_SHINGLES).alias("blocks")).filter("blocks > 1")
+    near = near.join(blocks, "comp", "left").withColumn("mine", F.pmod(F.xxhash64("k", F.lit("block")), F.coalesce("blocks", F.lit(1))))
+    near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
+    return near.select(F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"), F.col("k").alias("r"), "label", "set")
 
 
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -435,9 +426,8 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         few = shared_counts(left, _stored_sets, n_buckets)
         few = few.filter(F.col("shared") * 100 >= F.col("n") * THRESHOLD).select("k")
         left = scratch.cut(left.join(few, "k", "leftsemi"), f"left{i + 1}")
-    total = left.agg(F.sum("n")).first()[0] or 0
-    if total:
-        more = scratch.cut(_routed(left, -(-total // PART_SHINGLES)).groupBy("part").applyInPandas(search_part, "a long, b long"), "more")
+    if left.limit(1).count():
+        more = scratch.cut(_routed(left, scratch).groupBy("part").applyInPandas(search_part, "a long, b long"), "more")
         if more.limit(1).count():
             comps = components(found.union(more), scratch, "second")
     member = kept.groupBy("r").agg(F.count(F.lit(1)).alias("c"))

@@ -131,16 +131,16 @@ def test_shared_counts_by_brute_force(spark, monkeypatch):
 
 
 def test_last_search_isnt_drawn_together_by_common_shingles(spark, monkeypatch):
-    """Sets that share only what all share meet nowhere in numbers, and a bucket too large for a task is cut into blocks that still meet."""
+    """Sets that share only what all share don't meet, and a part too large for a task is cut into blocks that still meet."""
     monkeypatch.setattr(jaccard, "PART_SHINGLES", 300)
     g = np.random.default_rng(8)
     alone = [[1, *map(int, g.integers(2, 1 << 62, 8))] for _ in range(300)]
     family = list(range(100, 140))
     near = [sorted({*family[:i], *family[i + 1 :]}) for i in range(40)]  # links with each other
     df = spark.createDataFrame([(k, len(s), k, bytearray(np.array(sorted(s), "<u8").tobytes())) for k, s in enumerate(alone + near)], "k long, n long, label long, set binary")
-    routed = jaccard._routed(df, 12)
+    routed = jaccard._routed(df, Scratch(spark))
     sizes = [r["count"] for r in routed.groupBy("part").count().collect()]
-    assert max(sizes) < 120
+    assert len(sizes) > 10 and sum(sizes) == 40 * 6 and max(sizes) < 40  # 1,560 shingles in 6 blocks
     links = routed.groupBy("part").applyInPandas(jaccard.search_part, "a long, b long")
     comps = {r["id"]: r["comp"] for r in components(links, Scratch(spark), "x").collect()}
     assert comps == {k: 300 for k in range(300, 340)}
