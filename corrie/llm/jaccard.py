@@ -57,6 +57,8 @@ BUCKET_BYTES = 16 << 20
 BLOCK_SHINGLES = 1 << 20
 BLOCK_DOCS = 1 << 16
 PART_SHINGLES = 1 << 20
+TASK_SHINGLES = 1 << 18
+HOT_SHINGLES = 1000
 _LOW = np.int64(-1 << 63)
 #: Weight of a heap operation against a binary probe in DivideSkip's choice of the number of long lists.
 MU = 0.0085
@@ -370,6 +372,11 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(sign, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(m, pa.int64()) for m in mins), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "r", "n", *(f"m{i}" for i in range(len(SEEDS))), "set"])
 
 
+def _tasks(spark: SparkSession, shingles: int) -> int:
+    """Searching takes long for its bytes: twice the cores, or a task for each TASK_SHINGLES."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-shingles // TASK_SHINGLES))
+
+
 def _routed(left: DataFrame, scratch: Scratch) -> DataFrame:
     """part, r, label, set of the sets of left (k, n, label, set) that may link: two that do are in one part together."""
 
@@ -380,20 +387,27 @@ def _routed(left: DataFrame, scratch: Scratch) -> DataFrame:
             for i in range(0, len(h), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (k, n, h)], ["k", "n", "h"])
 
+    total = left.agg(F.sum("n")).first()[0] or 0
     held = left.select("k", "n", "set").mapInArrow(explode, "k long, n long, h long")
-    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    often = scratch.cut(held.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
+    hot = F.broadcast(often.filter(F.col("c") * HOT_SHINGLES > total))
+
+    def joined(rows: DataFrame, by_shingle: DataFrame) -> DataFrame:
+        """Those of hot shingles, less than HOT_SHINGLES, come by broadcast, so that no task gets all rows of one."""
+        return rows.join(hot.select("h"), "h", "leftanti").join(by_shingle, "h").union(rows.join(F.broadcast(by_shingle.join(hot.select("h"), "h", "leftsemi")), "h"))
+
     # Shingles of one set alone come first in the order and lead nowhere; what is left of the first ones is taken here.
     own = Window.partitionBy("k")
-    held = held.join(often, "h").withColumn("at", F.row_number().over(own.orderBy("c", "h")) + F.col("n") - F.count(F.lit(1)).over(own))
+    held = joined(held, often).withColumn("at", F.row_number().over(own.orderBy("c", "h")) + F.col("n") - F.count(F.lit(1)).over(own))
     first = scratch.cut(held.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1).select("k", "h"), "first")
     least = first.groupBy("h").agg(F.min("k").alias("a"))
-    together = components(first.join(least, "h").select("a", F.col("k").alias("b")), scratch, "near")
+    together = components(joined(first, least).select("a", F.col("k").alias("b")), scratch, "near")
 
     near = left.join(together, F.col("k") == F.col("id")).drop("id")
     blocks = near.groupBy("comp").agg(F.ceil(F.sum("n") / PART_SHINGLES).alias("blocks")).filter("blocks > 1")
     near = near.join(blocks, "comp", "left").withColumn("mine", F.pmod(F.xxhash64("k", F.lit("block")), F.coalesce("blocks", F.lit(1))))
     near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
-    return near.select(F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"), F.col("k").alias("r"), "label", "set")
+    return near.select(F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"), F.col("k").alias("r"), "label", "set").repartition(_tasks(left.sparkSession, total), "part")
 
 
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -409,13 +423,13 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     kept = scratch.cut(docs.join(likely, "k", "leftsemi").mapInArrow(_store, stored), "kept")
     reps = scratch.cut(kept.drop("k").dropDuplicates(["r"]), "reps")
 
-    found = None
+    found, tasks = None, _tasks(spark, reps.agg(F.sum("n")).first()[0] or 0)
     for i in range(len(SEEDS)):
         own = reps.select("r", "set", F.col(f"m{i}").alias("key"))
         sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         # The join has dealt rows by key; a part's own name makes a hot key's parts go to tasks of their own.
         own = own.join(sizes, "key").select("r", "set", F.xxhash64("key", F.pmod(F.xxhash64("r", F.lit(i)), F.ceil(F.col("c") / CAP))).alias("part"))
-        own = own.groupBy("part").applyInPandas(search_shard, "a long, b long")
+        own = own.repartition(tasks, "part").groupBy("part").applyInPandas(search_shard, "a long, b long")
         found = own if found is None else found.union(own)
     found = scratch.cut(found, "links")
     comps = components(found, scratch, "first")
