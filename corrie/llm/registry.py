@@ -20,5 +20,6 @@ ORACLES = {
     "op1_top_k": kdtree.OP1_SQL,
     "op5_jaccard": jaccard.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import repeated
-from .common import CHUNK_BYTES, Scratch, chunks, row_key, shield, small_batches, table, text_buffers
+from .common import CHUNK_BYTES, Scratch, chunks, one_row, packed, row_key, shield, small_batches, table, text_buffers, unpacked
 from .textnp import mix, prefix_hash, span_hash
 
 DEPTH = 200
@@ -91,23 +91,24 @@ def _pieces(offs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _messages(docs: DataFrame, n_buckets: int, hot: np.ndarray | None = None) -> DataFrame:
-    """docs: k, text. Packed rows of stretches by bucket: ks (documents), of (which), start, n, sig, cls."""
-    edges = np.array([-(-(b << 32) // n_buckets) << 32 for b in range(n_buckets)], np.uint64)
+    """docs: k, text. Packed rows of stretches by bucket: ks (documents), of (which), start, n, sig, cls; in rows of bucket -1, ks, start and sig are documents and byte ranges that a block knows to be repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def pack(parts: list[tuple]) -> pa.RecordBatch:
         ks, of, start, n, sig, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(sig, kind="stable")
-        sig = sig[order]
-        cuts = np.r_[np.searchsorted(sig, edges), len(sig)]
-        cols: list[list[bytes]] = [[] for _ in range(6)]
-        bucket = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
-        for b in bucket:
-            own = order[cuts[b] : cuts[b + 1]]
-            held, at = np.unique(of[own], return_inverse=True)
-            for c, x in zip(cols, (ks[held], at.astype("<u4"), start[own].astype("<i8"), n[own].astype("<u2"), sig[cuts[b] : cuts[b + 1]], cls[own]), strict=True):
-                c.append(x.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "ks", "of", "start", "n", "sig", "cls"])
+        order = np.lexsort((cls, sig))
+        of, start, n, sig, cls = (x[order] for x in (of, start, n, sig, cls))
+        new = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])]) if len(sig) else np.zeros(0, int)
+        sent = np.arange(len(sig)) - np.repeat(new, np.diff(np.r_[new, len(sig)])) < 2
+        known = [one_row(x) for x in (ks[of[~sent]], np.zeros(0, "<u4"), start[~sent], np.zeros(0, "<u2"), (start + n + DEPTH - 1)[~sent], np.zeros(0, "<u8"))]
+        of, start, n, sig, cls = (x[sent] for x in (of, start, n, sig, cls))
+        to = (sig >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, np.int64)
+        row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        held, at = np.unique(row * np.int64(len(ks) + 1) + of, return_inverse=True)
+        held_cuts = np.searchsorted(held, np.arange(len(cuts)) * np.int64(len(ks) + 1))
+        cols = [packed(ks[held % np.int64(len(ks) + 1)], held_cuts), *(packed(x, cuts) for x in ((at - held_cuts[row]).astype("<u4"), start.astype("<i8"), n.astype("<u2"), sig, cls))]
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[to[cuts[:-1]].astype(np.int64), -1], pa.int32()), *(pa.concat_arrays(x) for x in zip(cols, known, strict=True))], ["bucket", "ks", "of", "start", "n", "sig", "cls"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, rows = [], 0, 0
@@ -129,59 +130,77 @@ def _messages(docs: DataFrame, n_buckets: int, hot: np.ndarray | None = None) ->
     return docs.mapInArrow(run, "bucket int, ks binary, of binary, start binary, n binary, sig binary, cls binary")
 
 
-def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+def _unpack(rows: pa.Table) -> tuple[np.ndarray, ...]:
     """k, start, n, sig, cls of all stretches of a bucket, by sig and cls."""
-    tables = [np.frombuffer(x, "<i8") for x in pdf["ks"]]
-    ks = np.concatenate([t[np.frombuffer(x, "<u4")] for t, x in zip(tables, pdf["of"], strict=True)])
-    start, n, sig, cls = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("start", "<i8"), ("n", "<u2"), ("sig", "<u8"), ("cls", "<u8")))
+    ks, cuts = unpacked(rows.column("ks"), "<i8")
+    of, of_cuts = unpacked(rows.column("of"), "<u4")
+    ks = ks[of + np.repeat(cuts[:-1], np.diff(of_cuts))]
+    start, n, sig, cls = (unpacked(rows.column(c), t)[0] for c, t in (("start", "<i8"), ("n", "<u2"), ("sig", "<u8"), ("cls", "<u8")))
     order = np.lexsort((start, ks, cls, sig))
     return ks[order], start[order], n[order].astype(np.int64), sig[order], cls[order]
 
 
-def _by_document(bucket: int, ks: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
+def _by_document(ks: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The documents, and a packed row of each column for each."""
     order = np.argsort(ks, kind="stable")
-    ks, cols = ks[order], [c[order] for c in cols]
+    ks = ks[order]
     cuts = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1], True]) if len(ks) else np.zeros(1, int)
-    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield (bucket, int(ks[a]), *(c[a:z].astype("<i8").tobytes() for c in cols))
+    return ks[cuts[:-1]], [packed(c[order].astype("<i8"), cuts) for c in cols]
 
 
-def _pick(pdf: pd.DataFrame) -> pd.DataFrame:
+PICKED = "kind int, bucket int, k long, a binary, b binary, c binary, d binary, e binary"
+
+
+def _picked(kind: int, bucket: int, ks: np.ndarray, cols: list[pa.Array]) -> pa.Table:
+    n = len(ks)
+    cols = [*cols, *(pa.nulls(n, pa.binary()) for _ in range(5 - len(cols)))]
+    return pa.table([pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(ks, pa.int64()), *cols], names=["kind", "bucket", "k", *"abcde"])
+
+
+def _pick(rows: pa.Table) -> pa.Table:
     """kind 0: the bucket's stretches of minimizers found twice or more; kind 1: by document, what to cut out of it."""
-    bucket = int(pdf["bucket"].iloc[0])
-    ks, start, n, sig, cls = _unpack(pdf)
+    bucket = rows.column("bucket")[0].as_py()
+    ks, start, n, sig, cls = _unpack(rows)
     first = np.r_[True, sig[1:] != sig[:-1]]
     size = np.diff(np.r_[np.flatnonzero(first), len(sig)])
     keep = np.repeat(size > 1, size)
     ks, start, n, sig, cls = ks[keep], start[keep], n[keep], sig[keep], cls[keep]
     if not len(ks):
-        return pd.DataFrame({c: [] for c in ("kind", "bucket", "k", "a", "b", "c", "d", "e")})
+        return _picked(0, bucket, ks, [])
     new_cls = np.r_[True, (cls[1:] != cls[:-1]) | (sig[1:] != sig[:-1])]
     at = np.cumsum(new_cls) - 1
     rep = np.flatnonzero(new_cls)
     of_sig = (np.cumsum(np.r_[True, sig[1:] != sig[:-1]]) - 1)[rep]
-    several = np.bincount(of_sig)[of_sig] > 1
-    rows = [(0, bucket, 0, *(x.astype("<i8").tobytes() for x in (ks, start, n, at, of_sig)))]
-    rep = rep[several]
-    rows += [(1, b, k, x, y, z, b"", b"") for b, k, x, y, z in _by_document(bucket, ks[rep], start[rep], n[rep], at[rep])]
-    return pd.DataFrame(rows, columns=["kind", "bucket", "k", "a", "b", "c", "d", "e"])
+    own = _picked(0, bucket, np.zeros(1, np.int64), [one_row(x.astype("<i8")) for x in (ks, start, n, at, of_sig)])
+    rep = rep[np.bincount(of_sig)[of_sig] > 1]
+    return pa.concat_tables([own, _picked(1, bucket, *_by_document(ks[rep], start[rep], n[rep], at[rep]))])
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind 2: by document, the byte ranges that the blocks know to be repeated."""
+    for batch in batches:
+        ks, lo, hi = (unpacked(batch.column(c), "<i8")[0] for c in ("ks", "start", "sig"))
+        yield from _picked(2, -1, *_by_document(ks, lo, hi)).to_batches()
 
 
-def _hot(pdf: pd.DataFrame) -> pd.DataFrame:
-    sig, count = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in pdf["sig"]]), return_counts=True)
+def _hot(rows: pa.Table) -> pa.Table:
+    sig, count = np.unique(unpacked(rows.column("sig"), "<u8")[0], return_counts=True)
     many = count >= HOT_LEAST
-    return pd.DataFrame({"sig": sig[many].view(np.int64), "n": count[many], "of": np.full(many.sum(), count.sum())})
+    return pa.table([sig[many].view(np.int64), count[many], np.full(many.sum(), count.sum())], names=["sig", "n", "of"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From each text, once, what the buckets want of it."""
     for batch in batches:
-        raw, out, lengths = batch.column("text"), [], []
-        for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+        raw, out = batch.column("text"), []
+        for i, wanted in enumerate(batch.column("wanted").to_pylist()):
             data = memoryview(raw[i].as_buffer())
-            start, n = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8") + DEPTH - 1
-            out.append(b"".join(data[s : s + m] for s, m in zip(start.tolist(), n.tolist(), strict=True)))
-            lengths.append(n.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("c"), pa.array(lengths, pa.binary()), pa.array(out, pa.binary())], ["bucket", "cls", "lengths", "data"])
+            for w in wanted:
+                start, n = np.frombuffer(w["a"], "<i8"), np.frombuffer(w["b"], "<i8") + DEPTH - 1
+                out.append((w["bucket"], w["c"], n.tobytes(), b"".join(data[s : s + m] for s, m in zip(start.tolist(), n.tolist(), strict=True))))
+        for i in range(0, len(out), 1000):
+            bucket, cls, lengths, data = zip(*out[i : i + 1000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(x, pa.binary()) for x in (cls, lengths, data))], ["bucket", "cls", "lengths", "data"])
 
 
 def _solve(own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
@@ -235,8 +254,8 @@ def _solve(own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
                 kk.append(ks[i])
                 lo.append(start[i] + w[a])
                 hi.append(start[i] + w[z - 1] + DEPTH)
-    rows = [r[1:] for r in _by_document(0, np.array(kk, np.int64), np.array(lo, np.int64), np.array(hi, np.int64))]
-    return pd.DataFrame(rows, columns=["k", "lo", "hi"])
+    ks, cols = _by_document(np.array(kk, np.int64), np.array(lo, np.int64), np.array(hi, np.int64))
+    return pd.DataFrame({"k": ks, "lo": cols[0].to_pylist(), "hi": cols[1].to_pylist()})
 
 
 def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -245,18 +264,20 @@ def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(8, -(-size // BUCKET_BYTES))
     sent = scratch.cut(_messages(docs, n_buckets), "sent")
-    hot = sent.select("bucket", "sig").groupBy("bucket").applyInPandas(_hot, "sig long, n long, of long")
+    hot = sent.filter("bucket >= 0").select("bucket", "sig").groupBy("bucket").applyInArrow(_hot, "sig long, n long, of long")
     # A minimizer that more than one in HOT stretches of a bucket's share times the buckets have: fewer than HOT of them.
     hot = [r["sig"] for r in hot.filter(F.col("n") * HOT > F.col("of") * n_buckets).select("sig").collect()]
     if hot:
         sent = scratch.cut(_messages(docs, n_buckets, np.sort(np.array(hot, np.int64).view(np.uint64))), "sent2")
         scratch.drop("sent")
-    picked = scratch.cut(sent.groupBy("bucket").applyInPandas(_pick, "kind int, bucket int, k long, a binary, b binary, c binary, d binary, e binary"), "picked")
+    found = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_pick, PICKED)
+    picked = scratch.cut(found.union(sent.filter("bucket < 0").select("ks", "start", "sig").mapInArrow(_known, PICKED)), "picked")
     scratch.drop("sent2" if hot else "sent")
-    wanted = picked.filter("kind = 1").select("bucket", "k", "a", "b", "c")
-    texts = docs.join(wanted, "k").select("text", "bucket", "a", "b", "c").mapInArrow(_cut, "bucket int, cls binary, lengths binary, data binary")
+    wanted = picked.filter("kind = 1").groupBy("k").agg(F.collect_list(F.struct("bucket", "a", "b", "c")).alias("wanted"))
+    texts = docs.join(wanted, "k").select("text", "wanted").mapInArrow(_cut, "bucket int, cls binary, lengths binary, data binary")
     own = picked.filter("kind = 0").select("bucket", "a", "b", "c", "d", "e")
     found = own.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInPandas(_solve, "k long, lo binary, hi binary")
+    found = found.union(picked.filter("kind = 2").select("k", "a", "b"))
     return found.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -306,3 +327,19 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offs)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+r AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w SEMI JOIN r USING (m)),
+g AS (SELECT doc_id, i, sum(CASE WHEN i - p <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+t AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY doc_id, run),
+k AS (
+  SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS kept, max(z) AS z, sum(z - a) AS n_removed, count(*) AS n_spans
+  FROM (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM t) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

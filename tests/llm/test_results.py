@@ -52,6 +52,24 @@ def test_suffix_dedup_is_exact(spark, documents, monkeypatch, hot):
     assert {r[0]: tuple(r)[1:] for r in suffix_dedup.op8_suffix_dedup(spark, SF).collect()} == found
 
 
+@pytest.mark.parametrize("length", [300, 1500])
+def test_a_passage_in_every_text(spark, length, monkeypatch):
+    """It is removed from all; of stretches inside it a block sends two, however many texts it holds. A short line's minimizers are passed over."""
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 100)
+    g = np.random.default_rng(3)
+    noise = lambda n: "".join(map(chr, g.integers(97, 123, n)))
+    line = noise(length)
+    texts = {i: noise(400) + line + noise(400) for i in range(600)}
+    df = spark.createDataFrame(list(texts.items()), "k long, text string").coalesce(1)
+    count = Counter(t[i : i + 200] for t in texts.values() for i in range(len(t) - 199))
+    want = {k: [i for i in range(len(t) - 199) if count[t[i : i + 200]] > 1] for k, t in texts.items()}  # one run in each
+    sent = suffix_dedup._messages(df, 8).filter("bucket >= 0").collect()
+    seen = Counter(s for r in sent for s in zip(np.frombuffer(r["sig"], "<u8").tolist(), np.frombuffer(r["cls"], "<u8").tolist(), strict=True))
+    assert max(seen.values()) == (1 if length == 300 else 2)
+    found = suffix_dedup.removed(df, Scratch(spark)).collect()
+    assert {r["k"]: suffix_dedup._runs([s.asDict() for s in r["spans"]]).tolist() for r in found} == {k: [[i[0], i[-1] + 200]] for k, i in want.items()}
+
+
 def test_merged_transforms_find_every_repeat():
     g = np.random.default_rng(0)
     for _ in range(100):
