@@ -21,21 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to Python workers small: long texts would otherwise make batches of gigabytes."""
+    """Keep Arrow batches to Python workers small, for the whole session since plans run later: by rows here, and by bytes through Spark's spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by the driver and the executors; a temporary one only where none is set, as in tests."""
+    """The folder that the driver and the executors share. Where none is set, a temporary one in local mode, as in tests, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
+    if root is not None:
+        return root
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corrie-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        root = "file://" + tempfile.mkdtemp(prefix="corrie-")
-        spark.sparkContext.setCheckpointDir(root)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
+    return found.get()
 
 
 class Scratch:

@@ -5,8 +5,9 @@ item of fewer words is one window. Hits are verified word by word against the it
 
 Edge cases: null or word-free texts have no words and no hits; items without words make no window; repeated rows are
 handled row by row; an empty benchmark or document table gives unmarked documents or no rows; further columns pass.
-The window set is broadcast only up to `broadcast_windows` windows; a larger benchmark is scanned in parts of that size,
-one pass over the documents for each, so what a task holds stays bounded.
+The window set is broadcast only up to BROADCAST_WINDOWS windows, about 20 bytes each besides the items' words. A larger
+benchmark is scanned in parts of that size, one pass over the documents after the other: each pass is written to the
+scratch folder before the next part is built and broadcast, so the driver and a task hold one part at a time.
 """
 
 from __future__ import annotations
@@ -16,46 +17,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, StringType
 
-from .common import chunks, shield, small_batches, table, text_buffers
+from .common import Scratch, chunks, shield, small_batches, table, text_buffers
 from .textnp import ALNUM, LOWER, prefix_hash, span_hash, window_hash, words
 
 WINDOW = 10
-BROADCAST_WINDOWS = 2_000_000
+BROADCAST_WINDOWS = 1_000_000
 _BITS = 22
 
 
 class Windows:
-    """Windows of benchmark items by length: sorted hashes with the words and the item of each."""
+    """Windows of benchmark items by length: their sorted hashes, the place of each one's words, and the items that hold it."""
 
     def __init__(self, items: list[tuple[object, str | None]], n: int = WINDOW) -> None:
         self.ids = [str(i) for i, _ in items]
-        found: dict[int, list[tuple[int, bytes, int]]] = {}
-        for at, (_, text) in enumerate(items):
-            data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-            starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
-            if not len(starts):
-                continue
-            k = min(n, len(starts))
-            h = window_hash(span_hash(prefix_hash(data), starts, ends), k)
-            raw = [bytes(data[s:e]) for s, e in zip(starts, ends, strict=True)]
-            found.setdefault(k, []).extend((int(x), b" ".join(raw[i : i + k]), at) for i, x in enumerate(h))
-        self.by_len: dict[int, tuple[np.ndarray, np.ndarray, dict[int, dict[bytes, set[int]]]]] = {}
-        for k, rows in found.items():
-            exact: dict[int, dict[bytes, set[int]]] = {}
-            for x, raw_words, at in rows:
-                exact.setdefault(x, {}).setdefault(raw_words, set()).add(at)
-            hashes = np.array(sorted(exact), np.uint64)
+        raw = [(text or "").encode() for _, text in items]
+        self.data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        self.starts, self.ends, wo = words(self.data, np.cumsum([0, *map(len, raw)]), ALNUM)
+        h = span_hash(prefix_hash(self.data), self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+        found: dict[int, dict[tuple[int, bytes], tuple[int, set[int]]]] = {}
+        for at, (a, b) in enumerate(zip(wo[:-1].tolist(), wo[1:].tolist(), strict=True)):
+            if k := min(n, b - a):
+                for i, x in enumerate(window_hash(h[a:b], k).tolist(), a):
+                    found.setdefault(k, {}).setdefault((x, self.words(i, k)), (i, set()))[1].add(at)
+        self.by_len: dict[int, tuple[np.ndarray, ...]] = {}
+        for k, own in found.items():
+            keys = sorted(own)
+            held = [sorted(own[x][1]) for x in keys]
             flags = np.zeros(1 << _BITS, bool)
+            hashes = np.array([x for x, _ in keys], np.uint64)
             flags[hashes >> np.uint64(64 - _BITS)] = True
-            self.by_len[k] = (hashes, np.packbits(flags), exact)
+            self.by_len[k] = hashes, np.array([own[x][0] for x in keys]), np.cumsum([0, *map(len, held)]), np.concatenate(held).astype(np.int32), np.packbits(flags)
         self._flags: dict[int, np.ndarray] = {}
 
+    def words(self, i: int, k: int) -> bytes:
+        """k words of the items from the i-th on."""
+        return b" ".join(self.data[self.starts[j] : self.ends[j]].tobytes() for j in range(i, i + k))
+
     def flags(self, k: int) -> np.ndarray:
         if k not in self._flags:
-            self._flags[k] = np.unpackbits(self.by_len[k][1]).view(bool)
+            self._flags[k] = np.unpackbits(self.by_len[k][-1]).view(bool)
         return self._flags[k]
 
     def scan(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[int]]]:
@@ -67,72 +71,87 @@ class Windows:
         if len(starts) and self.by_len:
             h = span_hash(prefix_hash(data), starts, ends)
             last = np.repeat(wo[1:], np.diff(wo))
-            for k, (hashes, _, exact) in self.by_len.items():
+            for k, (hashes, first, cuts, held, _) in self.by_len.items():
                 x = window_hash(h, k)
                 if not len(x):
                     continue
                 at = np.flatnonzero(self.flags(k)[x >> np.uint64(64 - _BITS)])
                 at = at[at + k <= last[at]]
-                pos = np.searchsorted(hashes, x[at])
-                pos[pos == len(hashes)] = 0
-                for i in at[hashes[pos] == x[at]].tolist():
+                lo, hi = np.searchsorted(hashes, x[at], "left"), np.searchsorted(hashes, x[at], "right")
+                some = hi > lo
+                for i, a, b in zip(at[some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
                     raw = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + k))
-                    if own := exact[int(x[i])].get(raw):
-                        hit[i] += 1
-                        hit[i + k] -= 1
-                        items.setdefault(int(np.searchsorted(wo, i, "right")) - 1, set()).update(own)
+                    for w in range(a, b):
+                        if self.words(int(first[w]), k) == raw:
+                            hit[i] += 1
+                            hit[i + k] -= 1
+                            items.setdefault(int(np.searchsorted(wo, i, "right")) - 1, set()).update(held[cuts[w] : cuts[w + 1]].tolist())
         return starts, ends, wo, np.cumsum(hit[:-1]) > 0, items
 
 
-def windows(benchmark: DataFrame, n: int = WINDOW, most: int = BROADCAST_WINDOWS) -> Iterator[Windows]:
-    """The benchmark's windows in parts of at most about `most`, each small enough to broadcast."""
+def parts(benchmark: DataFrame, most: int = BROADCAST_WINDOWS) -> Iterator[list[tuple[object, str | None]]]:
+    """The benchmark's items in parts of at most about `most` windows; one part of none, if there are no items."""
     items, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         items.append((row[0], row[1]))
         size += 1 + len(row[1] or "") // 2
         if size >= most:
-            yield Windows(items, n)
+            yield items
             items, size = [], 0
-    yield Windows(items, n)
+    yield items
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs with _n_words, _hits (word and byte bounds of hit runs, packed int64) and _items (ids found, as strings); columns of such names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = [spark.sparkContext.broadcast(w) for w in windows(benchmark, n, most)]
+    docs, scratch, before = docs.drop("_n_words", "_hits", "_items"), None, None
+    for i, items in enumerate(parts(benchmark, most)):
+        if i and not items:
+            break
+        if i:  # the pass before is written, and its part let go, before this one is built
+            scratch = scratch or Scratch(spark)
+            docs = scratch.cut(docs, f"pass{i}")
+            before.unpersist()
+            scratch.drop(f"pass{i - 1}")
+        before = spark.sparkContext.broadcast(Windows(items, n))
+        docs = _pass(docs, before)
+    return docs
+
+
+def _pass(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """One part's hits, added to those that docs has."""
+    more = "_hits" in docs.columns
     cols = [c for c in docs.columns if c not in ("_n_words", "_hits", "_items")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
+            old_hits, old_items = (batch.column(c).to_pylist() if more else [None] * batch.num_rows for c in ("_hits", "_items"))
             n_words, out_hits, out_items = [], [], []
             for i, j in chunks(offs):
-                part = data[offs[i] : offs[j]]
                 local = offs[i : j + 1] - offs[i]
-                found = [w.value.scan(part, local) for w in parts]
-                starts, ends, wo = found[0][:3]
-                hit = np.logical_or.reduce([f[3] for f in found])
+                starts, ends, wo, hit, items = shared.value.scan(data[offs[i] : offs[j]], local)
                 n_words += np.diff(wo).tolist()
-                any_hit = np.add.reduceat(np.r_[hit, False].astype(np.int64), np.minimum(wo[:-1], len(hit))) if len(wo) > 1 else []
                 for d in range(j - i):
                     a, b = int(wo[d]), int(wo[d + 1])
-                    if a == b or not any_hit[d]:
+                    if old_hits[i + d]:
+                        for x, y in np.frombuffer(old_hits[i + d], "<i8").reshape(-1, 4)[:, :2].tolist():
+                            hit[a + x : a + y] = True
+                    out_items.append(sorted({*(old_items[i + d] or ()), *(shared.value.ids[x] for x in items.get(d, ()))}))
+                    if not out_items[-1]:
                         out_hits.append(b"")
-                        out_items.append([])
                         continue
                     own = np.flatnonzero(hit[a:b]) + a
                     run_at = np.flatnonzero(np.r_[True, np.diff(own) > 1])
                     first, last = own[run_at], own[np.r_[run_at[1:] - 1, len(own) - 1]]
-                    spans = np.stack([first - a, last + 1 - a, starts[first] - local[d], ends[last] - local[d]], 1)
-                    out_hits.append(spans.astype("<i8").tobytes())
-                    out_items.append(sorted({w.value.ids[x] for w, f in zip(parts, found, strict=True) for x in f[4].get(d, ())}))
+                    out_hits.append(np.stack([first - a, last + 1 - a, starts[first] - local[d], ends[last] - local[d]], 1).astype("<i8").tobytes())
             arrays = [batch.column(c) for c in cols]
             arrays += [pa.array(n_words, pa.int64()), pa.array(out_hits, pa.binary()), pa.array(out_items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, [*cols, "_n_words", "_hits", "_items"])
 
     schema = docs.select(*cols).schema.add("_n_words", "long").add("_hits", "binary").add("_items", ArrayType(StringType()))
-    return docs.select(*cols).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_share: float = 0.5) -> DataFrame:

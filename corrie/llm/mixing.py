@@ -2,7 +2,10 @@
 
 A source s with n_s of N rows and target weight w_s gets the mean repetition rate w_s / sum(w) * N / n_s. Every document's
 count is the inverse of the Poisson distribution of that mean at a hash of (seed, doc_id, text), so it is the same
-wherever and how often it is computed. Documents are exploded by their counts and ordered by another hash.
+wherever and how often it is computed. A source's cumulative distribution is computed once, a document's count is the
+number of its values under the hash. Documents are exploded by their counts and ordered by another hash, mix_order: it is
+uniform, so its high bits deal the copies into partitions, which are sorted one by one; nothing is sampled or computed
+twice for that.
 
 A mean over STEP is the sum of several Poissons of at most STEP each with hashes of their own, since exp(-mean) would
 vanish. Inversion stops where the remaining probability is below the hash's resolution of 2**-48.
@@ -31,17 +34,17 @@ def _uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def _invert(u: Column, mean: Column) -> Column:
-    """The least k with u <= P(X <= k), X ~ Poisson(mean), mean <= STEP."""
+def _cumulative(mean: Column) -> Column:
+    """P(X <= k) for k = 0, 1, ..., X ~ Poisson(mean), mean <= STEP, as far as a hash can reach."""
     most = 40 + int(STEP * 4)
-    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
+    first = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.array(F.exp(-mean)).alias("all"))
 
     def step(a: Column, i: Column) -> Column:
         p = a["p"] * mean / i
-        more = F.struct((a["k"] + F.lit(1)).alias("k"), p.alias("p"), (a["c"] + p).alias("c"))
-        return F.when(u > a["c"], more).otherwise(a)
+        return F.struct(p.alias("p"), (a["c"] + p).alias("c"), F.concat(a["all"], F.array(a["c"] + p)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda a: a["k"])
+    every = F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, step, lambda a: a["all"])
+    return F.filter(every, lambda c: c < F.lit(1 - 0.5 / (1 << 48)))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0) -> DataFrame:
@@ -60,16 +63,23 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_
     docs, back = shield(docs, "doc_id", "text", "source")
     cols = docs.columns
     key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce(F.md5("text"), F.lit("~")))
-    r = rates(docs, weights, default_weight).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    r = rates(docs, weights, default_weight).withColumn("_parts", F.greatest(F.ceil(F.col("rate") / F.lit(STEP)).cast("int"), F.lit(1)))
+    r = r.select(F.col("source").alias("_source"), "_parts", _cumulative(F.col("rate") / F.col("_parts")).alias("_cum"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
     d = docs.withColumn("_key", key).withColumn("_at", F.pmod(F.xxhash64("_key"), F.lit(SALT)).cast("int"))
     d = d.join(r, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt")))
-    parts = F.greatest(F.ceil(F.col("_rate") / F.lit(STEP)).cast("int"), F.lit(1))
-    mean = F.col("_rate") / parts
-    count = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + _invert(_uniform(F.col("_key"), i.cast("string")), mean))
+
+    def below(i: Column) -> Column:
+        u = _uniform(F.col("_key"), i.cast("string"))
+        return F.aggregate(F.col("_cum"), F.lit(0), lambda n, c: n + (c < u).cast("int"))
+
+    count = F.when(F.col("_parts") == 1, below(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, i: a + below(i)))
     d = d.withColumn("_n", count).filter("_n > 0")
     d = d.select(*cols, "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
     d = d.select(*cols, F.col("copy").cast("long").alias("copy"), F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("order"), F.col("_key"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long").alias("mix_order"))
-    return back(d.orderBy("mix_order", "doc_id", "copy") if shuffle else d, "copy", "mix_order")
+    if shuffle:
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        d = d.repartitionById(n, F.least(F.floor(F.col("mix_order") / float(1 << 60) * n), F.lit(n - 1)).cast("int")).sortWithinPartitions("mix_order", "doc_id", "copy")
+    return back(d, "copy", "mix_order")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

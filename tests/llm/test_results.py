@@ -456,6 +456,27 @@ def test_pii_windows_meet():
         assert pii._decoded([t], Digits())[0] == [("phone", *m.span()) for m in re.finditer("[0-9]+", t)]
 
 
+def test_a_large_benchmark_is_scanned_part_by_part(spark, monkeypatch):
+    """The same hits, with one part at a time in a broadcast."""
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "_n_words", "_hits", "_items").collect()))
+    want = rows(decontaminate.hits(docs, bench))
+    held, most, inner = [], [], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        shared, let_go = inner(value), None
+        if isinstance(value, decontaminate.Windows):
+            held.append(value)
+            most.append(len(held))
+            let_go = shared.unpersist
+            shared.unpersist = lambda blocking=False: (held.remove(value), let_go(blocking))
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    assert rows(decontaminate.hits(docs, bench, most=2000)) == want
+    assert len(most) > 2 and max(most) == 1
+
+
 def test_mixing_reaches_the_weights(spark):
     df = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 < 9 THEN 'b' ELSE 'c' END AS source", "string(id) AS text")
     got = {r[0]: r[1] for r in mixing.replicate(df, {"hot": 1, "b": 1, "c": 2}, shuffle=False).groupBy("source").count().collect()}
