@@ -5,8 +5,10 @@ widest dimension down to leaves of LEAF vectors; every node has the tight boundi
 inner product with a query from above. A query visits nodes best bound first and stops once the best open bound can't
 beat its k-th best score. That score is propagated: a first pass takes each query's best leaf in every shard, and the
 k-th best of those over all shards is where the second pass starts. Trees are written to the shared folder once. Queries
-are packed into blocks of QUERY_BLOCK, and only one block is broadcast at a time, so broadcasts stay bounded however many
-queries there are.
+are packed into blocks of QUERY_BLOCK; each pass is one job, in which every block meets every shard's tree by a join on
+the shard, row by row, so a task holds one block and one tree at a time. Blocks, floors and results stay in tables.
+
+A component beyond a long is the nearest long, and so is a score: ranks and ties follow from these.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, neither as queries; vectors meet
 only vectors of as many components (an empty one scores 0 with others); "the query's own" rows are those of its vec_id,
@@ -23,17 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, one_row, small_batches, table
 
 SCALE = 256
 SHARD_ROWS = 16384
 LEAF = 256
 QUERY_BLOCK = 4096
 K = 5
-FOUND = "query_no long, query_id long, vec_id long, score long"
+LONGS = (-(1 << 63), (1 << 63) - 1)
+FOUND = "block long, query_no long, query_id long, vec_id long, score long"
 
 
 class Tree:
@@ -54,7 +58,7 @@ class Tree:
             start.append(starts)
             end.append(starts + len(rows))
             if len(rows) > LEAF and x.shape[1] and (high > low).any():
-                d = int((high - low).argmax())
+                d = int((high.astype(float) - low).argmax())
                 by = np.argpartition(part[:, d], len(rows) // 2)
                 left, right = rows[by[: len(rows) // 2]], rows[by[len(rows) // 2 :]]
                 kids.append(len(nodes))
@@ -67,15 +71,17 @@ class Tree:
         self.ids, self.x = self.ids[perm], self.x[perm]
         self.lo, self.hi = np.array(lo), np.array(hi)
         self.start, self.end, self.kids = np.array(start), np.array(end), np.array(kids)
-        self.big = float(np.abs(self.x).max(initial=0))
+        self.big = float(np.abs(self.x.astype(float)).max(initial=0))
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray, first_leaf: bool) -> list[list[tuple[int, int]]]:
         """For each query its best (score, vec_id) here, none under `least`; of its best leaf only, if first_leaf."""
-        exact = self.x.shape[1] * self.big * float(np.abs(q).max(initial=0)) < 2**52
+        exact = self.x.shape[1] * self.big * float(np.abs(q.astype(float)).max(initial=0)) < 2**52
         kind = np.float64 if exact else object
         x, qs = self.x.astype(kind), q.astype(kind)
         lo, hi = self.lo.astype(kind), self.hi.astype(kind)
         bound = np.maximum(qs, 0) @ hi.T + np.minimum(qs, 0) @ lo.T if q.shape[1] else np.zeros((len(q), len(self.lo)))
+        if not exact:
+            bound = np.clip(bound, *LONGS)
         out: list[list[tuple[int, int]]] = []
         for i in range(len(q)):
             best: list[tuple[int, int]] = []  # a heap of (score, -vec_id): the worst first
@@ -94,11 +100,13 @@ class Tree:
                     continue
                 a, z = self.start[node], self.end[node]
                 scores = x[a:z] @ qs[i] if q.shape[1] else np.zeros(z - a)
+                if not exact:
+                    scores = np.clip(scores, *LONGS)
                 ids = self.ids[a:z]
                 ok = np.flatnonzero((scores >= floor) & (ids != own[i]))
                 if len(ok) > k:
                     ok = ok[scores[ok] >= np.partition(scores[ok], len(ok) - k)[len(ok) - k]]
-                    ok = ok[np.lexsort((ids[ok], -scores[ok]))[:k]]
+                    ok = ok[np.lexsort((ids[ok], -scores[ok]))[:k]] if exact else np.array(sorted(ok, key=lambda j: (-scores[j], ids[j]))[:k])
                 for j in ok.tolist():
                     item = (int(scores[j]), -int(ids[j]))
                     if len(best) < k:
@@ -127,92 +135,73 @@ def _matrix(col: pd.Series) -> np.ndarray:
 def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """From vec_id, v of the candidates and of the queries: query_id, rank, vec_id, score."""
     spark = data.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark)
     n = data.count()
     n_shards = max(1, -(-n // SHARD_ROWS))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = Tree(pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["v"]))
-        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "tree": [pickle.dumps(tree)]})
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(tree)]})
 
     dealt = data.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_shards)).alias("shard"))
-    trees = scratch.cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, tree binary"), "trees")
+    trees = scratch.cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"), "trees")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, list[int]]] = []
+        """block: its number; dim; and its queries' vec_ids and components."""
+        held: dict[int, tuple[list[int], list[list[int]]]] = {}
+        no = TaskContext.get().partitionId() << 32
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(rows)], pa.binary())], ["block"])
+        def out(dim: int) -> pa.RecordBatch:
+            nonlocal no
+            ids, v = held.pop(dim)
+            no += 1
+            return pa.RecordBatch.from_arrays([pa.array([no]), pa.array([dim], pa.int32()), one_row(np.array(ids, "<i8")), one_row(np.array(v, "<i8").ravel())], ["block", "dim", "ids", "q"])
 
         for batch in batches:
-            for row in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                rows.append(row)
-                if len(rows) == QUERY_BLOCK:
-                    yield out()
-                    rows.clear()
-        if rows:
-            yield out()
-
-    blocks = scratch.cut(queries.select("vec_id", "v").coalesce(max(1, min(n_shards, 64))).mapInArrow(pack, "block binary"), "queries")
-    found, base, pending = None, 0, []
-    done = []
-
-    def flush(rows: list) -> None:
-        nonlocal base
-        found = _search(spark, trees, rows, base, k)
-        done.append(scratch.cut(found, f"found{len(done)}"))
-        base += len(rows)
-
-    for row in blocks.toLocalIterator():
-        pending += pickle.loads(row["block"])
-        while len(pending) >= QUERY_BLOCK:
-            flush(pending[:QUERY_BLOCK])
-            pending = pending[QUERY_BLOCK:]
-    if pending or not done:
-        flush(pending)
-    found = done[0]
-    for d in done[1:]:
-        found = found.union(d)
+            for vec_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                ids, rows = held.setdefault(len(v), ([], []))
+                ids.append(vec_id)
+                rows.append(v)
+                if len(ids) == QUERY_BLOCK:
+                    yield out(len(v))
+        for dim in list(held):
+            yield out(dim)
+
+    tasks = max(1, min(n_shards, 2 * spark.sparkContext.defaultParallelism))
+    blocks = scratch.cut(queries.select("vec_id", "v").coalesce(tasks).mapInArrow(pack, "block long, dim int, ids binary, q binary"), "queries")
+    first = scratch.cut(_best(_visit(trees, blocks, n_shards, k, True), k).filter(F.col("rank") == k), "first")
+    floors = first.groupBy("block").agg(F.collect_list(F.struct("query_no", "score")).alias("floors"))  # of the QUERY_BLOCK queries of a block
+    found = _visit(trees, blocks.join(floors, "block", "left"), n_shards, k, False)
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query, with rank; every task keeps only k of a query before the shuffle."""
-    order = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("block", "query_no").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _search(spark: SparkSession, trees: DataFrame, rows: list[tuple[int, list[int]]], base: int, k: int) -> DataFrame:
-    """Each shard's best for one block of queries."""
-    by_dim: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for d in {len(v) for _, v in rows}:
-        own = [i for i, (_, v) in enumerate(rows) if len(v) == d]
-        by_dim[d] = (np.array(own), np.array([rows[i][0] for i in own], np.int64), np.array([rows[i][1] for i in own], np.int64).reshape(len(own), d))
-    shared = spark.sparkContext.broadcast(by_dim)
-    low = np.iinfo(np.int64).min // 2
-
-    def run(least: np.ndarray | None, first: bool):
-        held = spark.sparkContext.broadcast(least)
-
-        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for dim, raw in zip(batch.column("dim").to_pylist(), batch.column("tree").to_pylist(), strict=True):
-                    if dim not in shared.value:
-                        continue
-                    no, ids, q = shared.value[dim]
-                    floor = np.full(len(no), low) if held.value is None else held.value[no]
-                    got = pickle.loads(raw).search(q, ids, k, floor, first)
-                    flat = [(base + int(a), int(i), v, s) for a, i, best in zip(no, ids, got, strict=True) for s, v in best]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*flat, strict=True) if flat else ((), (), (), ()))], ["query_no", "query_id", "vec_id", "score"])
-
-        return trees.mapInArrow(visit, FOUND)
-
-    # The k-th best score over all shards' best leaves, for at most QUERY_BLOCK queries.
-    seen = _best(run(None, True), k).filter(F.col("rank") == k).select("query_no", F.col("score").alias("s")).collect() if rows else []
-    least = np.full(len(rows), low)
-    for r in seen:
-        least[r["query_no"] - base] = r["s"]
-    return run(least, False)
+def _visit(trees: DataFrame, blocks: DataFrame, n_shards: int, k: int, first: bool) -> DataFrame:
+    """Each shard's best for the queries of each block, from the block's floors on if it has some."""
+    low = LONGS[0]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                dim, block = row["dim"].as_py(), row["block"].as_py()
+                ids = np.frombuffer(row["ids"].as_py(), "<i8")
+                q = np.frombuffer(row["q"].as_py(), "<i8").reshape(len(ids), dim)
+                floor = np.full(len(ids), low)
+                for f in (row["floors"].as_py() or ()) if not first else ():
+                    floor[f["query_no"]] = f["score"]
+                got = pickle.loads(row["tree"].as_buffer()).search(q, ids, k, floor, first)
+                flat = [(block, j, int(ids[j]), v, s) for j, best in enumerate(got) for s, v in best]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*flat, strict=True) if flat else ((),) * 5)], ["block", "query_no", "query_id", "vec_id", "score"])
+
+    every = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    return every.join(trees, ["dim", "shard"]).mapInArrow(visit, FOUND)
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,3 +174,12 @@ def test_top_k(spark):
     got = sorted(tuple(r) for r in kdtree.top_k(v, v.filter("vec_id % 50 = 0")).collect())
     assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 2, 65536), (0, 4, 150, -32768), (50, 1, 100, 0), (100, 1, 50, 0), (150, 1, 0, -32768), (150, 2, 1, -32768), (150, 3, 2, -32768), (150, 4, 2, -32768)]
     assert kdtree.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_top_k_beyond_longs(spark):
+    """Components and scores are the nearest longs; ties among these go to the smaller vec_id."""
+    most = (1 << 63) - 1
+    rows = [(0, [1e12, 1.0]), (1, [1e12, 0.0]), (2, [1e300, 0.0]), (3, [-1e12, 5.0]), (4, [0.0, 2.0]), (50, [0.0, 1.0])]
+    v = kdtree.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(tuple(r) for r in kdtree.top_k(v, v.filter("vec_id % 50 = 0")).collect())
+    assert got == [(0, 1, 1, most), (0, 2, 2, most), (0, 3, 4, 131072), (0, 4, 50, 65536), (0, 5, 3, -most - 1), (50, 1, 3, 327680), (50, 2, 4, 131072), (50, 3, 0, 65536), (50, 4, 1, 0), (50, 5, 2, 0)]

@@ -485,15 +485,42 @@ def test_mixing_reaches_the_weights(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_top_k_prunes_and_stays_exact():
+def test_top_k_prunes_and_stays_exact(monkeypatch):
+    monkeypatch.setattr(kdtree, "LEAF", 32)
     g = np.random.default_rng(9)
     x = (g.standard_normal((3000, 5)) * 90).astype(np.int64)
     tree = kdtree.Tree(np.arange(3000), x)
     q, own = x[:40], np.arange(40)
+    visited, pop = [], kdtree.heapq.heappop
+    monkeypatch.setattr(kdtree.heapq, "heappop", lambda h: visited.append(1) or pop(h))
     got = tree.search(q, own, 5, np.full(40, -(1 << 60)), False)
     for i in range(40):
         want = sorted(((-int(x[j] @ q[i]), j) for j in range(3000) if j != i))[:5]
         assert sorted((-s, v) for s, v in got[i]) == want
+    assert len(visited) < 40 * len(tree.kids) * 0.6
+    floor, before = np.array([min(s for s, _ in best) for best in got]), len(visited)
+    assert [sorted(b) for b in tree.search(q, own, 5, floor, False)] == [sorted(b) for b in got]
+    assert len(visited) - before <= before
+    before = len(visited)
+    assert not any(tree.search(q, own, 5, floor + 10**6, False)) and len(visited) - before == 40  # another shard's k-th score ends the visit at the root
+
+
+def test_top_k_in_blocks_and_shards(spark, monkeypatch):
+    """Several blocks of queries meet several shards in one job a pass."""
+    monkeypatch.setattr(kdtree, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 100)
+    g = np.random.default_rng(10)
+    x = (g.standard_normal((450, 6)) * 90).astype(np.int64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<long>")
+    searches = []
+    inner = kdtree._visit
+    monkeypatch.setattr(kdtree, "_visit", lambda *a: searches.append(a) or inner(*a))
+    got = sorted(tuple(r) for r in kdtree.top_k(df, df.filter("vec_id % 20 = 0")).collect())
+    want = []
+    for q in range(0, 450, 20):
+        best = sorted((-int(x[j] @ x[q]), j) for j in range(450) if j != q)[:5]
+        want += [(q, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want) and len(searches) == 2 and searches[0][1].count() >= 3
 
 
 def test_pipeline(spark, documents):
