@@ -4,7 +4,8 @@ Texts are lower-cased; every run of characters that aren't letters counts as one
 that hold a letter are hashed to BINS bins. Training counts the bins of a bounded sample of labelled rows, at most about
 `docs_per_lang` of each language, chosen by a hash of the doc_id. The matrix of log-probabilities (BINS x languages) is
 broadcast; its size follows the number of languages only. Scoring sums the matrix rows of a text's n-grams over the whole
-text, in blocks of BLOCK characters, so memory doesn't follow the length of a text.
+text. A text of more than BLOCK characters is read in pieces that carry the last codes on, so every n-gram of the whole
+counts once and memory doesn't follow the length of a text.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; without training rows every text is `und`; ties
 go to the language that sorts first; rows are scored one by one, so repeated rows agree; an empty table gives no rows.
@@ -30,6 +31,7 @@ DOCS_PER_LANG = 2000
 SMOOTH = 0.05
 BLOCK = 1 << 19
 UNKNOWN = "und"
+_BLANK = np.zeros(1, np.uint32)
 
 
 @cache
@@ -38,54 +40,85 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased texts, 0 for each run of other characters, and each text's offset."""
-    texts = [" " + t.lower() + " " for t in texts]
-    offs = np.cumsum([0, *map(len, texts)])
-    x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[x]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the first of a run of others
-    keep[offs[:-1]] = True
-    at = np.r_[0, np.cumsum(keep)]
-    return np.where(letter, x, 0)[keep], at[offs]
+def _letter_codes(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, 0 for other characters than letters."""
+    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_letters()[x], x, 0)
+
 
+def _hashed(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bin of each n-gram of codes, by start, and whether it holds a letter."""
+    m = max(0, len(x) - n + 1)
+    h, some = np.full(m, n, np.uint32), np.zeros(m, bool)
+    for j in range(n):
+        h = (h ^ x[j : j + m]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        some |= x[j : j + m] != 0
+    return (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS), some
 
-def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the bins of the n-grams that hold a letter, and each text's offset into them."""
-    x, offs = _codes(texts)
-    text_of_end = offs[1:]
+
+def _short(rows: list[int], texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order: the rows of whole texts that have n-grams with a letter, and the bins and offsets of these."""
+    x = [_letter_codes(t) for t in texts]
+    offs = np.cumsum([0, *(len(c) + 2 for c in x)])
+    x = np.concatenate([part for c in x for part in (_BLANK, c, _BLANK)])
+    keep = x != 0
+    keep[1:] |= x[:-1] != 0  # the first of a run of others
+    keep[offs[:-1]] = True
+    offs = np.r_[0, np.cumsum(keep)][offs]
+    x = x[keep]
     for n in ORDERS:
-        m = len(x) - n + 1
-        if m <= 0:
-            yield np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-            continue
-        h = np.full(m, n, np.uint32)
-        some = np.zeros(m, bool)
-        for j in range(n):
-            h = (h ^ x[j : j + m]) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-            some |= x[j : j + m] != 0
+        bins, some = _hashed(x, n)
         for j in range(1, n):  # n-grams that run over the end of a text
-            at = text_of_end - j
-            some[at[(at >= 0) & (at < m)]] = False
+            at = offs[1:] - j
+            some[at[(at >= 0) & (at < len(some))]] = False
         at = np.flatnonzero(some)
-        yield (h[at] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS), np.searchsorted(at, offs)
-
-
-def _blocks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts in blocks of about BLOCK characters, with the row of each; long texts are cut, each cut overlapping by two."""
-    rows, out, size = [], [], 0
+        cuts = np.searchsorted(at, offs)
+        own = np.flatnonzero(np.diff(cuts))
+        if len(own):
+            yield np.array(rows)[own], bins[at], np.r_[cuts[own], len(at)]
+
+
+def _long(row: int, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of one text in pieces of BLOCK characters: exactly the n-grams of the whole, each once."""
+    tail, blank, at = _BLANK, True, 0
+    while at <= len(text):
+        end = min(at + BLOCK, len(text))
+        while at + BLOCK // 2 < end < len(text) and text[end - 1].isalpha():  # a word is lower-cased whole, if there is a gap
+            end -= 1
+        x = _letter_codes(text[at:end])
+        keep = x != 0
+        keep[1:] |= x[:-1] != 0
+        if len(x):
+            keep[0] |= not blank
+            blank = x[-1] == 0
+        x = x[keep]
+        at = end
+        if at == len(text):
+            x, at = x if blank else np.r_[x, _BLANK], at + 1
+        both = np.concatenate([tail, x])
+        for n in ORDERS:
+            bins, some = _hashed(both, n)
+            some[: max(0, len(tail) - n + 1)] = False  # the last piece's
+            if some.any():
+                yield np.array([row]), bins[some], np.array([0, int(some.sum())])
+        tail = both[-(max(ORDERS) - 1) :]
+
+
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All n-grams that hold a letter, of some texts at a time: the texts' rows, the n-grams' bins, each text's offset into them and the end."""
+    rows, size = [], 0
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t)), BLOCK):
-            rows.append(i)
-            out.append(t[max(0, at - 2) : at + BLOCK] if at else t[:BLOCK])
-            size += len(out[-1])
-            if size >= BLOCK:
-                yield rows, out
-                rows, out, size = [], [], 0
+        if len(t) > BLOCK:
+            yield from _long(i, t)
+            continue
+        rows.append(i)
+        size += len(t)
+        if size >= BLOCK:
+            yield from _short(rows, [texts[r] for r in rows])
+            rows, size = [], 0
     if rows:
-        yield rows, out
+        yield from _short(rows, [texts[r] for r in rows])
 
 
 class Model:
@@ -102,13 +135,9 @@ class Model:
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        for rows, part in _blocks(texts):
-            for bins, offs in grams(part):
-                got = np.diff(offs)
-                some = got > 0
-                if some.any():
-                    np.add.at(total, np.array(rows)[some], np.add.reduceat(self.table[bins], offs[:-1][some], axis=0, dtype=np.float64))
-                    np.add.at(n, np.array(rows)[some], got[some])
+        for rows, bins, cuts in grams(texts):
+            total[rows] += np.add.reduceat(self.table[bins], cuts[:-1], axis=0, dtype=np.float64)
+            n[rows] += np.diff(cuts)
         total += self.prior
         best = total.argmax(1)
         p = np.exp(total - total.max(1, keepdims=True))
@@ -130,9 +159,8 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         c = np.zeros(BINS)
-        for _, part in _blocks(pdf["text"].tolist()):
-            for bins, _ in grams(part):
-                c += np.bincount(bins, minlength=BINS)
+        for _, bins, _ in grams(pdf["text"].tolist()):
+            c += np.bincount(bins, minlength=BINS)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [c.astype("<f4").tobytes()]})
 
     rows = sorted(sample.groupBy("lang").applyInPandas(count, "lang string, counts binary").collect())

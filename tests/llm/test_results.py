@@ -181,6 +181,45 @@ def test_language_accuracy(spark):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
+def test_language_counts_and_scores_by_brute_force(spark, monkeypatch):
+    """N-grams of whole texts, also of those read in pieces, and scores from the formula of multinomial naive Bayes."""
+    monkeypatch.setattr(langid, "BLOCK", 50)
+
+    def by_hand(text):
+        codes = [" ", *(c if c.isalpha() else " " for c in text.lower()), " "]
+        codes = [c for i, c in enumerate(codes) if c != " " or not i or codes[i - 1] != " "]
+        found = Counter()
+        for n in langid.ORDERS:
+            for i in range(len(codes) - n + 1):
+                g = codes[i : i + n]
+                if any(c != " " for c in g):
+                    h = n
+                    for c in g:
+                        h = ((h ^ (0 if c == " " else ord(c))) * 0x9E3779B1) & 0xFFFFFFFF
+                        h ^= h >> 15
+                    found[(h * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - langid.BITS] += 1
+        return found
+
+    g = np.random.default_rng(4)
+    draw = lambda n: "".join(g.choice(list("abc  .,É1\nß"), n))
+    texts = [draw(int(n)) for n in g.integers(0, 400, 200)] + ["", "x" * 500, ". " * 200, "a", "word " * 60]
+    counts, rows_of = [Counter() for _ in texts], range(len(texts))
+    for rows, bins, cuts in langid.grams(texts):
+        for i, r in enumerate(rows.tolist()):
+            counts[r].update(bins[cuts[i] : cuts[i + 1]].tolist())
+    assert counts == [by_hand(t) for t in texts]
+    labels = ["de" if i % 3 else "fr" for i in rows_of]
+    df = spark.createDataFrame([(i, texts[i], labels[i]) for i in rows_of], "doc_id long, text string, lang string")
+    model = langid.train(df, docs_per_lang=10**6)
+    totals = {x: sum((by_hand(t) for t, y in zip(texts, labels, strict=True) if x == y), Counter()) for x in ("de", "fr")}
+    for i in rows_of:
+        own = by_hand(texts[i])
+        lp = {x: np.log(labels.count(x) / len(texts)) + sum(c * np.log((totals[x][b] + langid.SMOOTH) / (totals[x].total() + langid.SMOOTH * langid.BINS)) for b, c in own.items()) for x in totals}
+        pred, score = (y[0] for y in model.score([texts[i]]))
+        p = np.exp([v - max(lp.values()) for v in lp.values()])
+        assert (pred, score) == ("und", 0) if not own else abs(score - max(p) / sum(p)) < 1e-3 and lp[pred] > max(lp.values()) - 1e-3
+
+
 def test_toxicity_of_unseen_misspellings():
     g = np.random.default_rng(2)
     words = ["calm", "river", "green", "table", "stone", "paper", "light", "cloud", "bridge", "letter"]
