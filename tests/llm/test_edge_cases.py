@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corrie.llm import decontaminate, html_extract, jaccard, kdtree, langid, lm_score, mixing, pii, suffix_dedup, toxicity
 from corrie.llm.common import Scratch
 
@@ -183,3 +184,22 @@ def test_top_k_beyond_longs(spark):
     v = kdtree.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = sorted(tuple(r) for r in kdtree.top_k(v, v.filter("vec_id % 50 = 0")).collect())
     assert got == [(0, 1, 1, most), (0, 2, 2, most), (0, 3, 4, 131072), (0, 4, 50, 65536), (0, 5, 3, -most - 1), (50, 1, 3, 327680), (50, 2, 4, 131072), (50, 3, 0, 65536), (50, 4, 1, 0), (50, 5, 2, 0)]
+
+
+def test_pipeline(spark, docs, empty, bench, tmp_path):
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, rows in (("some", docs), ("none", empty)):
+        sf = tmp_path / name
+        rows.write.parquet(str(sf / "documents.parquet"))
+        bench.write.parquet(str(sf / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(sf))
+        assert got.columns == [c for c in docs.columns if c not in ("copy", "mix_order")] + ["copy", "mix_order"]
+        found = got.collect()
+        if name == "none":
+            assert not found
+            continue
+        assert all(r["k"] == "x" and r["lang"] in ("en", "fr") and r["n_chars"] == len(r["text"]) for r in found)
+        assert not {r["doc_id"] for r in found} & {2, 3, 4, 5, 6, 7, 9, 10}  # copies, without letters, and the benchmark's own
+        assert {r["doc_id"] for r in found} <= {1, 8, 11, None}
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["language ID"](spark, docs.withColumn("lang", F.lit(None).cast("string")), "").count() == len(ROWS)
