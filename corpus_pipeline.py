@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents; the last adds copy and mix_order.
+
+Edge cases: rows with a null, empty or letter-free text go in the first stage, if there are languages to learn from, and
+otherwise no row does; a null doc_id, source or n_chars passes; rows that agree in doc_id and text are copies of each
+other, of which one stays; a text that loses all its words to the benchmark goes; n_chars follows the text; an empty
+table gives no rows; other columns pass, also those whose names an operator uses inside.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrie.llm import decontaminate, jaccard, langid, mixing, pii
-from corrie.llm.common import Scratch, table
+from corrie.llm.common import Scratch, shield, table
 
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,9 +26,13 @@ def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; a missing language becomes the predicted one."""
-    found = langid.identify(docs, langid.train(docs)).filter(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """The language becomes the predicted one, whatever was marked; documents without a letter go. Without any marked language there is nothing to learn from, and all documents pass as they are."""
+    model = langid.train(docs)
+    if not model.langs:
+        return docs
+    docs, back = shield(docs, "text", "lang")
+    found = langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN)
+    return back(found.withColumn("lang", F.col("lang_pred")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
