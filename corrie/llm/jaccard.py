@@ -405,7 +405,8 @@ def _routed(left: DataFrame, scratch: Scratch) -> DataFrame:
 
     near = left.join(together, F.col("k") == F.col("id")).drop("id")
     blocks = near.groupBy("comp").agg(F.ceil(F.sum("n") / PART_SHINGLES).alias("blocks")).filter("blocks > 1")
-    near = near.join(blocks, "comp", "left").withColumn("mine", F.pmod(F.xxhash64("k", F.lit("block")), F.coalesce("blocks", F.lit(1))))
+    # At most one row for every PART_SHINGLES shingles of left; by a shuffle, all rows of a large part would meet in one task.
+    near = near.join(F.broadcast(blocks), "comp", "left").withColumn("mine", F.pmod(F.xxhash64("k", F.lit("block")), F.coalesce("blocks", F.lit(1))))
     near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
     return near.select(F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"), F.col("k").alias("r"), "label", "set").repartition(_tasks(left.sparkSession, total), "part")
 
