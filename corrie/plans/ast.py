@@ -105,6 +105,7 @@ class CreateTable:
     name: str
     columns: tuple[tuple[str, str], ...]  # name, INTEGER VARCHAR BOOLEAN
     if_not_exists: bool = False
+    unenforced: tuple[str, ...] = ()  # constraints and lengths, in words
 
 
 @dataclass(frozen=True)

@@ -91,7 +91,7 @@ class Lowering:
     # -- SELECT
 
     def select(self, q: ast.Select, keep_order: bool = False) -> DataFrame:
-        """keep_order: rows of one table come as they were inserted even without LIMIT."""
+        """keep_order: rows of one table that nothing else orders get a last column ORDERED, by which a caller can put them as they were inserted."""
         scope = self.source(q.source)
         if q.where is not None:
             scope = replace(scope, df=scope.df.filter(self.truth(q.where, scope)))
@@ -114,8 +114,11 @@ class Lowering:
             positions = [self.position(o, q, names) for o in q.order_by]
             sort = [F.col(inner[i]) for i in positions]
             df = df.distinct()
-        elif not sort and scope.order and scope.order in df.columns and (keep_order or q.limit is not None or q.offset):
-            sort = [F.col(scope.order)]
+        elif not sort and scope.order and scope.order in df.columns:
+            if q.limit is not None or q.offset:
+                sort = [F.col(scope.order)]
+            elif keep_order:
+                out, inner, names = [*out, F.col(scope.order)], [*inner, "order"], [*names, ORDERED]
         if sort:
             df = df.orderBy(*(c.desc_nulls_last() if o and o.desc else c.asc_nulls_last() for c, o in zip(sort, q.order_by or [None] * len(sort), strict=False)))
         if not q.distinct:
@@ -168,6 +171,10 @@ class Lowering:
         return df, out, names, [self.sort_key(o, q, out, names, lambda e: self.value(e, scope, known)[0]) for o in q.order_by]
 
 
+#: The name of the column that select() adds for keep_order.
+ORDERED = "__insertion"
+
+
 def _aggregates(e: ast.Expr | ast.Star) -> list[ast.Agg]:
     if isinstance(e, ast.Agg):
         return [e]

@@ -6,20 +6,21 @@ import tempfile
 import threading
 import time
 import uuid
+import warnings
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cache import ResultCache
-from .errors import PlanError, SqlError
+from .errors import PlanError, SqlError, Unsupported
 from .operators.scope import Relation, scan
 from .plans import ast
-from .plans.lower import Lowering, Source
+from .plans.lower import ORDERED, Lowering, Source
 from .plans.parser import parse
-from .sources.store import ORDER, Store, StoreConfig
+from .sources.store import FILE, ORDER, Snapshot, Store, StoreConfig
 from .types import SPARK, check_value, type_class, type_name
 
 
@@ -42,22 +43,53 @@ class Query:
     result: Result | None = None
     error: str | None = None
     from_cache: bool = False
+    tables: dict[str, int | None] = field(default_factory=dict)  # rows of each table read; None where they aren't known
+    joined: int = 0
+    aggregated: int = 0
+
+
+def _plan_rows(df: DataFrame) -> tuple[int, int]:
+    """Rows that came out of the joins and out of the aggregates of a DataFrame that has run."""
+    joined = aggregated = 0
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+            continue
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            joined += metric.get().value() if "Join" in kind or "Cartesian" in kind else 0
+            aggregated += metric.get().value() if "Aggregate" in kind else 0
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return joined, aggregated
 
 
 class Engine:
     """execute() runs a statement; sql() gives the DataFrame of a SELECT.
 
     With a path, tables outlive the engine. null_semantics "nullsafe": NULL = NULL is true; "ansi": it is NULL.
+    max_rows: execute() refuses larger results, which sql() gives as a DataFrame. constraints: columns' PRIMARY KEY,
+    UNIQUE, NOT NULL and lengths aren't enforced; "warn" says so on creation, "refuse" is an error.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, null_semantics: str = "nullsafe", cache_size: int = 100, config: StoreConfig | None = None, workers: int = 4, history: int = 1000) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, *, null_semantics: str = "nullsafe", cache_size: int = 100, config: StoreConfig | None = None, workers: int = 4, history: int = 1000, max_rows: int | None = 1_000_000, constraints: str = "warn") -> None:
         if null_semantics not in ("nullsafe", "ansi"):
             raise ValueError(null_semantics)
+        if constraints not in ("warn", "refuse"):
+            raise ValueError(constraints)
         # One session for each engine, since names of one case differ from names of another here.
         self.spark = spark.newSession()
         self.spark.conf.set("spark.sql.caseSensitive", "true")
         if path is None:
             shared = spark.conf.get("spark.checkpoint.dir", None)
+            if not shared and spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("an engine without a path needs spark.checkpoint.dir, a folder that the driver and all executors share")
             path = f"{shared}/tables-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="corrie-tables-")
         self.store = Store(self.spark, path, config)
         self.null_safe = null_semantics == "nullsafe"
@@ -68,6 +100,7 @@ class Engine:
         self._pool = ThreadPoolExecutor(workers, thread_name_prefix="query")
         self._queries: dict[str, Query] = {}
         self._history = history
+        self._max_rows, self._constraints = max_rows, constraints
 
     # -- catalog
 
@@ -93,6 +126,8 @@ class Engine:
             self.store.create(name, schema)
             self._schemas[name] = schema
             rows = df.select(*(F.col(f"`{old}`").cast(new.dataType).alias(new.name) for old, new in zip(df.columns, fields, strict=True)), F.monotonically_increasing_id().alias(ORDER))
+            if self.store.config.write_parallelism > 1:
+                rows = rows.repartition(self.store.config.write_parallelism)
             self.store.append(name, schema, self.store.snapshot(name), rows)
 
     def _absent(self, name: str) -> None:
@@ -118,6 +153,10 @@ class Engine:
         self._schema(name)
         return self.store.snapshot(name).rows
 
+    def known_row_count(self, name: str) -> int | None:
+        """row_count() of a stored table, None of a registered one: no job runs."""
+        return None if name in self._outside else self.row_count(name)
+
     def storage_size(self, name: str) -> int:
         if name in self._outside:
             return 0
@@ -127,6 +166,23 @@ class Engine:
     def table_stats(self, name: str) -> dict:
         return {"name": name, "rows": self.row_count(name), "bytes": self.storage_size(name), "columns": self.table_schema(name)}
 
+    def describe(self, name: str) -> list[dict]:
+        """Columns in order. Files are pruned by Parquet's statistics, so no column has an index."""
+        return [{"name": n, "data_type": t, "ordinal": i, "index_type": None} for i, (n, t) in enumerate(self.table_schema(name))]
+
+    def has_pending_buffer_data(self, name: str) -> bool:
+        """False: a statement has committed when it returns."""
+        return False
+
+    def pending_buffer_row_count(self, name: str) -> int:
+        return 0
+
+    def has_pending_data_files(self, name: str) -> bool:
+        return False
+
+    def pending_data_file_count(self, name: str) -> int:
+        return 0
+
     def read_snapshot(self, name: str, version: int) -> DataFrame:
         """A stored table as it was at a version."""
         return self.store.read(name, self._schema(name), self.store.snapshot(name, version)).drop(ORDER)
@@ -159,12 +215,15 @@ class Engine:
             result, cached = Result(), False
         return result, cached, (time.time() - began) * 1000
 
-    def _lower(self, tree: ast.Select, keep_order: bool = False) -> tuple[DataFrame, tuple]:
+    def _lower(self, tree: ast.Select, keep_order: bool = False) -> tuple[DataFrame, tuple | None, list[str]]:
+        """The DataFrame, the key of its result (None with registered tables, whose files may change unseen) and its tables."""
         versions: dict[str, int] = {}
+        outside = False
 
         def table(name: str) -> Source:
+            nonlocal outside
             if name in self._outside:
-                versions[name] = id(self._outside[name])
+                outside, versions[name] = True, -1
                 return Source(self._outside[name])
             schema = self._schema(name)
             snap = self.store.snapshot(name)
@@ -172,19 +231,32 @@ class Engine:
             return Source(self.store.read(name, schema, snap), ORDER)
 
         df = Lowering(table, self.null_safe).select(tree, keep_order)
-        return df, (tree, tuple(sorted(versions.items())))
+        return df, None if outside else (tree, tuple(sorted(versions.items()))), sorted(versions)
 
     def _run(self, tree: ast.Select, query: Query | None = None) -> tuple[Result, bool]:
         if query:
             query.stage = "Planning query"
-        df, key = self._lower(tree, keep_order=True)
-        found = self.cache.get(key)
+        df, key, tables = self._lower(tree, keep_order=True)
+        if query:
+            query.tables = {n: None if n in self._outside else self.store.snapshot(n).rows for n in tables}
+        found = self.cache.get(key) if key else None
         if found is not None:
             return found, True
         if query:
             query.stage = "Executing query"
-        result = Result(tuple(df.columns), tuple(tuple(r) for r in df.collect()))
-        self.cache.put(key, result)
+        most = self._max_rows
+        if most is not None:
+            df = df.limit(most + 1) if tree.limit is None or tree.limit > most else df
+        rows, columns = [tuple(r) for r in df.collect()], df.columns
+        if most is not None and len(rows) > most:
+            raise PlanError(f"the result has more than {most} rows: add a LIMIT, or take sql()'s DataFrame")
+        if columns and columns[-1] == ORDERED:
+            rows, columns = [r[:-1] for r in sorted(rows, key=lambda r: r[-1])], columns[:-1]
+        if query:
+            query.joined, query.aggregated = _plan_rows(df)
+        result = Result(tuple(columns), tuple(rows))
+        if key:
+            self.cache.put(key, result)
         return result, False
 
     def _change(self, tree: ast.Statement) -> None:
@@ -197,6 +269,10 @@ class Engine:
             if tree.if_not_exists and (tree.name in self._schemas or tree.name in self._outside):
                 return
             self._absent(tree.name)
+            if tree.unenforced:
+                if self._constraints == "refuse":
+                    raise Unsupported(f"{', '.join(tree.unenforced)} can't be enforced")
+                warnings.warn(f"{tree.name}: {', '.join(tree.unenforced)} is accepted and not enforced", stacklevel=4)
             schema = T.StructType([T.StructField(n, SPARK[t]) for n, t in tree.columns])
             self.store.create(tree.name, schema)
             self._schemas[tree.name] = schema
@@ -219,21 +295,33 @@ class Engine:
         df = self.spark.createDataFrame(rows, T.StructType([*schema.fields, T.StructField(ORDER, T.LongType())])).coalesce(1)
         self.store.append(tree.table, schema, snap, df, len(rows), snap.next_order + len(rows))
 
-    def _matching(self, table: str, where: ast.Expr | None) -> tuple[Relation, object]:
-        """The table, and which of its rows match; an unknown column in WHERE matches nothing."""
-        snap = self.store.snapshot(table)
-        rel = scan(self.store.read(table, self._schema(table), snap), table, 0, ORDER)
+    def _scan(self, table: str, snap: Snapshot) -> Relation:
+        """The table with its hidden columns ORDER and FILE, which no name reaches."""
+        rel = scan(self.store.read(table, self._schema(table), snap, with_file=True), table, 0, ORDER)
+        return replace(rel, df=rel.df.withColumnRenamed(rel.fields[-1].inner, FILE), fields=rel.fields[:-1])
+
+    def _match(self, rel: Relation, where: ast.Expr | None) -> Column:
+        """Which rows match; an unknown column in WHERE matches nothing."""
         if where is None:
-            return rel, F.lit(True)
+            return F.lit(True)
         try:
-            return rel, F.coalesce(Lowering(None, self.null_safe).truth(where, rel), F.lit(False))
+            return F.coalesce(Lowering(None, self.null_safe).truth(where, rel), F.lit(False))
         except PlanError:
-            return rel, F.lit(False)
+            return F.lit(False)
+
+    def _touched(self, table: str, where: ast.Expr | None) -> tuple[Snapshot, dict[str, int], Relation, Column]:
+        """The snapshot, the matching rows of each file that has some, these files' rows, and which of them match."""
+        snap = self.store.snapshot(table)
+        rel = self._scan(table, snap)
+        found = rel.df.filter(self._match(rel, where)).groupBy(FILE).agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = {r[FILE]: r["n"] for r in found}
+        own = self._scan(table, Snapshot(0, tuple(f for f in snap.files if f in counts), 0, 0))
+        return snap, counts, own, self._match(own, where)
 
     def _update(self, tree: ast.Update) -> None:
-        """All changes see the row as it was."""
-        schema, snap = self._schema(tree.table), self.store.snapshot(tree.table)
-        rel, match = self._matching(tree.table, tree.where)
+        """All changes see the row as it was. Files without a matching row stay; without any there is no commit."""
+        schema = self._schema(tree.table)
+        snap, counts, rel, match = self._touched(tree.table, tree.where)
         lowering, new = Lowering(None, self.null_safe), {}
         for name, e in tree.changes:
             if name not in schema.names:
@@ -245,14 +333,17 @@ class Engine:
             if type_class(kind) not in ("null", type_class(t)):
                 raise PlanError(f"column {name} is {t.simpleString()}, the value is {kind.simpleString()}")
             new[name] = value.cast(t)
-        cols = [(F.when(match, new[f.name]).otherwise(F.col(f.inner)) if f.name in new else F.col(f.inner)).alias(f.name) for f in rel.fields]
-        self.store.replace(tree.table, snap, rel.df.select(*cols, F.col(rel.order).alias(ORDER)), snap.rows)
+        if counts:
+            cols = [(F.when(match, new[f.name]).otherwise(F.col(f.inner)) if f.name in new else F.col(f.inner)).alias(f.name) for f in rel.fields]
+            self.store.replace(tree.table, snap, set(counts), rel.df.select(*cols, F.col(rel.order).alias(ORDER)), snap.rows)
 
     def _delete(self, tree: ast.Delete) -> None:
-        snap = self.store.snapshot(tree.table) if self._schema(tree.table) else None
-        rel, match = self._matching(tree.table, tree.where)
-        kept = rel.df.filter(~match).select(*(F.col(f.inner).alias(f.name) for f in rel.fields), F.col(rel.order).alias(ORDER))
-        self.store.replace(tree.table, snap, kept)
+        """Files without a matching row stay; without any there is no commit."""
+        self._schema(tree.table)
+        snap, counts, rel, match = self._touched(tree.table, tree.where)
+        if counts:
+            kept = rel.df.filter(~match).select(*(F.col(f.inner).alias(f.name) for f in rel.fields), F.col(rel.order).alias(ORDER))
+            self.store.replace(tree.table, snap, set(counts), None if tree.where is None else kept, snap.rows - sum(counts.values()))
 
     # -- asynchronous queries
 
@@ -292,7 +383,8 @@ class Engine:
         q = self._queries.get(query_id)
         if q is None:
             raise PlanError(f"query {query_id} does not exist")
-        out = {"query_id": q.id, "status": q.status, "current_stage": q.stage, "elapsed_ms": int(((q.ended or time.time()) - q.started) * 1000), "error": q.error, "from_cache": q.from_cache, "tasks": 0, "completed_tasks": 0, "rows": len(q.result.rows) if q.result else 0}
+        out = {"query_id": q.id, "status": q.status, "current_stage": q.stage, "elapsed_ms": int(((q.ended or time.time()) - q.started) * 1000), "error": q.error, "from_cache": q.from_cache, "tasks": 0, "completed_tasks": 0, "rows": len(q.result.rows) if q.result else 0, "rows_processed": 0, "estimated_total_rows": sum(n or 0 for n in q.tables.values()), "rows_joined": q.joined, "rows_aggregated": q.aggregated}
+        status = self.spark.sparkContext._jsc.sc().statusStore()
         tracker = self.spark.sparkContext.statusTracker()
         for job in tracker.getJobIdsForGroup(query_id):
             info = tracker.getJobInfo(job)
@@ -300,6 +392,8 @@ class Engine:
                 if stage := tracker.getStageInfo(s):
                     out["tasks"] += stage.numTasks
                     out["completed_tasks"] += stage.numCompletedTasks
+                    out["rows_processed"] += status.lastStageAttempt(s).inputRecords()
+        out["tables_scanned"] = [{"table_name": n, "total_rows": rows} for n, rows in q.tables.items()]
         return out
 
     def query_result(self, query_id: str) -> Result | None:

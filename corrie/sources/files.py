@@ -40,7 +40,7 @@ class Files:
             stream.close()
 
     def create(self, path: str, value: dict) -> bool:
-        """Writes a new file whole, or not at all: False if the name is taken."""
+        """Writes a new file whole, or not at all: False if the name is taken. Atomic where a rename is and refuses to overwrite, as on HDFS and local disks."""
         fs, p = self._at(path)
         if fs.exists(p):
             return False

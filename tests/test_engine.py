@@ -6,6 +6,8 @@ import urllib.request
 import pytest
 
 from corrie import Engine, PlanError, SqlError, Unsupported
+from corrie.errors import CommitConflict
+from corrie.sources.store import StoreConfig
 
 
 @pytest.fixture
@@ -187,14 +189,20 @@ def test_http(engine):
             return e.code, json.loads(e.read())
 
     q = call("POST", "/execute", {"query": "SELECT name FROM users WHERE id = 2"})["query_id"]
-    while call("GET", f"/query/{q}/progress")["status"] == "Running":
+    while (p := call("GET", f"/query/{q}/progress")["progress"])["status"] == "Running":
         time.sleep(0.05)
-    assert call("GET", f"/query/{q}/result")["result"]["rows"] == [[{"type": "Varchar", "value": "Bob"}]]
-    assert call("POST", "/execute", {"query": "DELETE FROM users WHERE id = 1"})["result"]["rows"] == []
-    assert call("GET", "/table/USERS")["row_count"] == 2
-    assert call("GET", "/tables") == {"tables": ["USERS"]}
-    assert call("POST", "/execute", {"query": " "})[0] == 400
+    assert p["tables_scanned"] == [{"table_name": "USERS", "total_rows": 3}] and p["estimated_total_rows"] == 3
+    r = call("GET", f"/query/{q}/result")
+    assert r["success"] and r["result"]["rows"] == [[{"type": "Varchar", "value": "Bob"}]] and r["from_cache"] is False and r["execution_time_ms"] > 0
+    r = call("POST", "/execute", {"query": "DELETE FROM users WHERE id = 1"})
+    assert r["success"] and r["result"]["rows"] == []
+    assert call("GET", "/table/USERS")["schema"]["stats"]["row_count"] == 2
+    assert [(t["name"], t["row_count"], t["has_pending_buffer"]) for t in call("GET", "/tables")["tables"]] == [("USERS", 2, False)]
+    assert call("POST", "/execute", {"query": " "}) == {"success": False, "error": "the query is empty"}
+    assert "error" in call("POST", "/execute", {"query": "DELETE FROM nope"})
+    assert call("POST", "/execute", [1])[0] == 400
     assert call("GET", "/nope")[0] == 404
+    assert b"<textarea" in urllib.request.urlopen(base.removesuffix("api")).read()
     s.shutdown()
 
 
@@ -203,3 +211,98 @@ def test_unsupported(engine):
         engine.execute("MERGE INTO users USING x ON 1 = 1")
     with pytest.raises(PlanError):
         engine.sql("DELETE FROM users")
+
+
+def test_two_writers(spark, tmp_path):
+    """Of two commits on one snapshot the first stays and the second is refused whole."""
+    a, b = Engine(spark, f"file://{tmp_path}"), Engine(spark, f"file://{tmp_path}")
+    a.execute("CREATE TABLE t (id INT)")
+    b = Engine(spark, f"file://{tmp_path}")
+    old = b.store.snapshot("T")
+    a.execute("INSERT INTO t VALUES (1), (2)")
+    b.store.snapshot = lambda name, version=None: old
+    with pytest.raises(CommitConflict):
+        b.execute("INSERT INTO t VALUES (3)")
+    assert rows(a, "SELECT id FROM t") == [(1,), (2,)]
+    done, errors = [], []
+
+    def insert(i):
+        try:
+            Engine(spark, f"file://{tmp_path}").execute(f"INSERT INTO t VALUES ({i})")
+            done.append(i)
+        except CommitConflict as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=insert, args=(i,)) for i in range(10, 14)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert done and len(done) + len(errors) == 4
+    assert sorted(r[0] for r in rows(a, "SELECT id FROM t")) == sorted([1, 2, *done])
+
+
+def test_only_files_with_matches_are_rewritten(engine):
+    engine.execute("INSERT INTO users VALUES (4, 'David')")
+    engine.execute("INSERT INTO users VALUES (5, 'Eve')")
+    before = engine.store.snapshot("USERS")
+    engine.execute("DELETE FROM users WHERE nope = 1")
+    engine.execute("UPDATE users SET name = 'x' WHERE id = 99")
+    assert engine.store.snapshot("USERS") == before
+    engine.execute("UPDATE users SET name = 'x' WHERE id = 4")
+    after = engine.store.snapshot("USERS")
+    assert len(set(before.files) - set(after.files)) == 1 and after.rows == 5
+    assert rows(engine, "SELECT * FROM users") == [(1, "Alice"), (2, "Bob"), (3, "Charlie"), (4, "x"), (5, "Eve")]
+    engine.execute("DELETE FROM users WHERE id > 3")
+    assert engine.row_count("USERS") == 3 and rows(engine, "SELECT id FROM users") == [(1,), (2,), (3,)]
+
+
+def test_large_results_are_refused(spark, engine):
+    small = Engine(spark, engine.store.root, max_rows=2)
+    with pytest.raises(PlanError, match="LIMIT"):
+        small.execute("SELECT * FROM users")
+    assert rows(small, "SELECT id FROM users LIMIT 2") == [(1,), (2,)]
+    assert small.sql("SELECT * FROM users").count() == 3
+
+
+def test_no_sort_without_limit(engine):
+    plan = engine.sql("SELECT name FROM users")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+
+
+def test_constraints_are_named(spark, engine):
+    with pytest.warns(UserWarning, match="PRIMARY KEY of ID, the length of NAME, NOT NULL of NAME"):
+        engine.execute("CREATE TABLE c (id INT PRIMARY KEY, name VARCHAR(5) NOT NULL)")
+    engine.execute("INSERT INTO c VALUES (1), (1, 'longer than five')")
+    assert engine.row_count("C") == 2
+    with pytest.raises(Unsupported):
+        Engine(spark, constraints="refuse").execute("CREATE TABLE c (id INT UNIQUE)")
+
+
+def test_registered_tables_arent_cached(engine, spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    engine.register("t", spark.read.parquet(path))
+    assert rows(engine, "SELECT COUNT(*) FROM t") == [(3,)]
+    spark.range(5).write.mode("append").parquet(path)
+    engine.execute("CREATE TABLE other (a INT)")
+    assert engine.execute_with_cache_info("SELECT COUNT(*) FROM t")[1] is False
+
+
+def test_progress_counts_rows(engine):
+    engine.execute("CREATE TABLE o (user_id INT)")
+    engine.execute("INSERT INTO o VALUES (1), (1), (2)")
+    q = engine.execute_async("SELECT u.name, COUNT(*) FROM users u JOIN o ON u.id = o.user_id GROUP BY u.name")
+    while engine.query_progress(q)["status"] == "Running":
+        time.sleep(0.05)
+    p = engine.query_progress(q)
+    assert p["rows_joined"] == 3 and p["rows_aggregated"] >= 2 and p["rows_processed"] >= 6
+
+
+def test_store_config(spark):
+    engine = Engine(spark, config=StoreConfig(codec="gzip", target_file_bytes=640, estimated_row_bytes=64, write_parallelism=2))
+    engine.import_table("n", spark.range(100))
+    names = engine.store.snapshot("N").files
+    assert len(names) == 10 and all(n.endswith(".gz.parquet") for n in names)
+    assert engine.has_pending_buffer_data("N") is False and engine.pending_data_file_count("N") == 0
+    assert engine.describe("N") == [{"name": "ID", "data_type": "INTEGER", "ordinal": 0, "index_type": None}]
