@@ -5,7 +5,8 @@ character n-grams (3 to 5 bytes, with bounds) and of itself, a document's vector
 and BLANKS blank ones, so an
 unseen misspelling shares most of its vector with the word it comes from. Embeddings and softmax are trained together by
 full-batch Adam on a bounded sample of labelled rows, at most about `docs_per_class` of each label, chosen by a hash of
-the doc_id. Since both layers are linear, a trained model keeps one number for each n-gram bin; scoring sums them over
+the doc_id. N-grams of fewer than MIN_DOCS texts of the sample get no vector of their own: with so little seen of them
+they would learn their texts by heart. DIM, RATE and STEPS were chosen on a third of the training rows. Since both layers are linear, a trained model keeps one number for each n-gram bin; scoring sums them over
 whole texts in chunks.
 
 Edge cases: a null, empty or word-free text has the score of an empty bag (the bias alone); without rows of both labels
@@ -113,36 +114,42 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, dim: int = DIM,
     used, slot, word_of = used[often], (np.cumsum(often) - 1)[slot[keep]], word_of[keep]
     by_bin = np.argsort(slot, kind="stable")
     s_first = np.searchsorted(word_of, np.arange(len(first) + 1))
-    b_first, by_bin = np.searchsorted(slot[by_bin], np.arange(len(used))), word_of[by_bin]
+    b_first, by_bin = np.searchsorted(slot[by_bin], np.arange(len(used))), word_of[by_bin].astype(np.int32)
+    slot = slot.astype(np.int32)
     some_word = np.flatnonzero(np.diff(s_first))
     held = np.diff(s_first)[word] > 0
-    doc, word, weight = doc[held], word[held], weight[held, None]
+    doc, word, weight = doc[held], word[held], weight[held]
     by_word = np.argsort(word, kind="stable")
     w_doc, w_weight, w_first = doc[by_word], weight[by_word], np.searchsorted(word[by_word], some_word)
     some_doc, d_first = np.unique(doc, return_index=True)
-    per = 1 / n_sub[:, None].astype(np.float32)
+    per = 1 / n_sub.astype(np.float32)[some_word]
 
+    # One dimension after the other: sums over runs of a flat array are much faster than over rows of a few numbers.
     g = np.random.default_rng(seed)
-    p = {"e": (g.standard_normal((len(used), dim)) * 0.1).astype(np.float32), "w": (g.standard_normal((dim, 2)) * 0.5).astype(np.float32), "b": np.zeros(2, np.float32)}
+    p = {"e": np.ascontiguousarray((g.standard_normal((len(used), dim)) * 0.1).astype(np.float32).T), "w": (g.standard_normal((dim, 2)) * 0.5).astype(np.float32), "b": np.zeros(2, np.float32)}
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     y = np.eye(2, dtype=np.float32)[np.array(labels)]
-    wv, dwv, h = (np.zeros((n, dim), np.float32) for n in (len(first), len(first), n_docs))
+    wv, dwv, h, de = (np.zeros((dim, n), np.float32) for n in (len(first), len(first), n_docs, len(used)))
     for step in range(1, steps + 1):
-        wv[some_word] = np.add.reduceat(p["e"][slot], s_first[some_word], axis=0) * per[some_word]
-        h[some_doc] = np.add.reduceat(weight * wv[word], d_first, axis=0)
-        z = h @ p["w"] * scale + p["b"]
+        for d in range(dim):
+            wv[d, some_word] = np.add.reduceat(p["e"][d][slot], s_first[some_word]) * per
+            h[d, some_doc] = np.add.reduceat(weight * wv[d][word], d_first)
+        z = h.T @ p["w"] * scale + p["b"]
         z = np.exp(z - z.max(1, keepdims=True))
         dz = (z / z.sum(1, keepdims=True) - y) / n_docs
-        dwv[some_word] = np.add.reduceat(w_weight * (dz @ p["w"].T * scale)[w_doc], w_first, axis=0) * per[some_word]
-        grad = {"w": h.T @ dz * scale, "b": dz.sum(0), "e": np.add.reduceat(dwv[by_bin], b_first, axis=0)}
+        dh = p["w"] @ dz.T * scale
+        for d in range(dim):
+            dwv[d, some_word] = np.add.reduceat(w_weight * dh[d][w_doc], w_first) * per
+            de[d] = np.add.reduceat(dwv[d][by_bin], b_first)
+        grad = {"w": h @ dz * scale, "b": dz.sum(0), "e": de}
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        for k, d in grad.items():
-            m[k] = 0.9 * m[k] + 0.1 * d
-            v[k] = 0.99 * v[k] + 0.01 * d * d
+        for k, x in grad.items():
+            m[k] = 0.9 * m[k] + 0.1 * x
+            v[k] = 0.99 * v[k] + 0.01 * x * x
             size = np.sqrt(v[k] / (1 - 0.99**step))
             p[k] = p[k] - lr * (m[k] / (1 - 0.9**step)) / (size + FLOOR * size.max() + 1e-12)
     odds = np.zeros(1 << BITS, np.float32)
-    odds[used] = p["e"] @ (p["w"][:, 1] - p["w"][:, 0]) * scale
+    odds[used] = (p["w"][:, 1] - p["w"][:, 0]) @ p["e"] * scale
     return Model(odds, float(p["b"][1] - p["b"][0]))
 
 
