@@ -56,7 +56,7 @@ CAP = 400
 BUCKET_BYTES = 16 << 20
 BLOCK_SHINGLES = 1 << 20
 BLOCK_DOCS = 1 << 16
-PART_SHINGLES = 1 << 20
+PART_SHINGLES = 1 << 17
 TASK_SHINGLES = 1 << 18
 HOT_SHINGLES = 1000
 _LOW = np.int64(-1 << 63)
