@@ -105,10 +105,9 @@ def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def unpacked(col: pa.Array | pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The values of all rows of a packed column, and where each row's begin and the last ends."""
+    """The values of all rows of a packed column, read-only and without a copy, and where each row's begin and the last ends."""
     data, offs = text_buffers(col)
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data.tobytes(), kind), offs // size
+    return data.view(kind), offs // np.dtype(kind).itemsize
 
 
 def one_row(values: np.ndarray) -> pa.Array:

@@ -53,8 +53,8 @@ from .textnp import LOWER, SPACE, mix, prefix_hash, span_hash, window_hash, word
 SHINGLE = 5
 THRESHOLD = 75
 CAP = 400
-BUCKET_BYTES = 16 << 20
-BLOCK_SHINGLES = 1 << 20
+BUCKET_BYTES = 8 << 20
+BLOCK_SHINGLES = 1 << 19
 BLOCK_DOCS = 1 << 16
 PART_SHINGLES = 1 << 17
 TASK_SHINGLES = 1 << 18
@@ -292,7 +292,7 @@ def shared_counts(rows: DataFrame, sets_of, n_buckets: int) -> DataFrame:
         ks, labels = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.int64)
         ns = np.array([len(x[2]) for x in block], np.int64)
         h = np.concatenate([x[2] for x in block])
-        of = np.repeat(np.arange(len(block)), ns)
+        of = np.repeat(np.arange(len(block), dtype=np.int32), ns)
         order = np.argsort(h, kind="stable")
         h, of = h[order], of[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -300,7 +300,7 @@ def shared_counts(rows: DataFrame, sets_of, n_buckets: int) -> DataFrame:
         known = np.repeat(many, np.diff(np.r_[first, len(h)]))
         local = np.bincount(of[known], minlength=len(block))
         marked = h[first[many]]
-        h, of = np.concatenate([h[~known], marked, marked]), np.concatenate([of[~known] + 2, np.zeros(len(marked), int), np.ones(len(marked), int)])
+        h, of = np.concatenate([h[~known], marked, marked]), np.concatenate([of[~known] + 2, np.zeros(len(marked), np.int32), np.ones(len(marked), np.int32)])
         order = np.argsort(h, kind="stable")
         h, of = h[order], of[order]
         bucket = (h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
@@ -336,14 +336,19 @@ def shared_counts(rows: DataFrame, sets_of, n_buckets: int) -> DataFrame:
             ks, cuts = unpacked(rows.column("ks"), "<i8")
             labels = unpacked(rows.column("labels"), "<i8")[0]
             at, at_cuts = unpacked(rows.column("at"), "<u4")
-            of = at + np.repeat(cuts[:-1], np.diff(at_cuts))
-            h = unpacked(rows.column("h"), "<u4")[0]
-            order = np.argsort(h, kind="stable")
-            h, of = h[order], of[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            both = unpacked(rows.column("h"), "<u4")[0].astype(np.uint64)  # hash, then document: sorted in place
+            both <<= np.uint64(32)
+            both |= at + np.repeat(cuts[:-1].astype(np.uint32), np.diff(at_cuts))
+            both.sort()
+            of = both.astype(np.uint32)
+            both >>= np.uint64(32)
+            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            size = np.diff(np.r_[first, len(both)])
+            del both
             own = labels[of]
             many = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-            cs = np.bincount(of[np.repeat(many, np.diff(np.r_[first, len(h)]))], minlength=len(ks))
+            del own
+            cs = np.bincount(of[np.repeat(many, size)], minlength=len(ks))
             cs[cuts[:-1]] = cs[cuts[:-1] + 1] = 0  # the marks
             ks, cs = ks[cs > 0], cs[cs > 0]
             ns = np.zeros(len(ks), np.int64)
