@@ -38,7 +38,7 @@ import hashlib
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, one_row, packed, row_key, shield, small_batches, table, text_buffers, unpacked
+from .common import Scratch, chunks, give_back, one_row, packed, row_key, shield, small_batches, table, text_buffers, unpacked
 from .graph import components
 from .textnp import LOWER, SPACE, mix, prefix_hash, span_hash, window_hash, words
 
@@ -260,6 +260,16 @@ def search_part(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _and_give_back(search: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = search(pdf)
+        if len(pdf) > 50:
+            give_back()
+        return found
+
+    return run
+
+
 def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     for batch in batches:
         data, offs = text_buffers(batch.column("text"))
@@ -344,11 +354,11 @@ def shared_counts(rows: DataFrame, sets_of, n_buckets: int) -> DataFrame:
             both >>= np.uint64(32)
             first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
             size = np.diff(np.r_[first, len(both)])
-            del both
             own = labels[of]
             many = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-            del own
             cs = np.bincount(of[np.repeat(many, size)], minlength=len(ks))
+            del both, own, of, at, first, size, many, labels
+            give_back()
             cs[cuts[:-1]] = cs[cuts[:-1] + 1] = 0  # the marks
             ks, cs = ks[cs > 0], cs[cs > 0]
             ns = np.zeros(len(ks), np.int64)
@@ -435,7 +445,7 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         # The join has dealt rows by key; a part's own name makes a hot key's parts go to tasks of their own.
         own = own.join(sizes, "key").select("r", "set", F.xxhash64("key", F.pmod(F.xxhash64("r", F.lit(i)), F.ceil(F.col("c") / CAP))).alias("part"))
-        own = own.repartition(tasks, "part").groupBy("part").applyInPandas(search_shard, "a long, b long")
+        own = own.repartition(tasks, "part").groupBy("part").applyInPandas(_and_give_back(search_shard), "a long, b long")
         found = own if found is None else found.union(own)
     found = scratch.cut(found, "links")
     comps = components(found, scratch, "first")
@@ -447,7 +457,7 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         few = few.filter(F.col("shared") * 100 >= F.col("n") * THRESHOLD).select("k")
         left = scratch.cut(left.join(few, "k", "leftsemi"), f"left{i + 1}")
     if left.limit(1).count():
-        more = scratch.cut(_routed(left, scratch).groupBy("part").applyInPandas(search_part, "a long, b long"), "more")
+        more = scratch.cut(_routed(left, scratch).groupBy("part").applyInPandas(_and_give_back(search_part), "a long, b long"), "more")
         if more.limit(1).count():
             comps = components(found.union(more), scratch, "second")
     member = kept.groupBy("r").agg(F.count(F.lit(1)).alias("c"))
