@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import give_back, small_batches, table
 
 BITS = 15
 BINS = 1 << BITS
@@ -178,6 +178,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             pred, score = shared.value.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*cols, "lang_pred", "lang_score"])
+            give_back()
 
     docs = docs.select(*cols)
     return docs.mapInArrow(run, docs.limit(0).select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema)

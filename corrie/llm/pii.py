@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bilstm_crf import BiLstmCrf, codes
-from .common import shield, small_batches, table
+from .common import give_back, shield, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE, MARGIN = 96, 48, 24
@@ -343,6 +343,7 @@ def find(docs: DataFrame, model: BiLstmCrf | None) -> DataFrame:
                 spans.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
                 found[i] = [dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in spans]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(found, pii)], [*cols, "pii"])
+            give_back()
 
     docs = docs.select(*cols)
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(PII).fields]))
