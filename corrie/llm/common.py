@@ -47,9 +47,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/corrie-{uuid.uuid4().hex}"
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+        """df, written and read back; with file_rows, in files of no more rows, which readers share out."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(path)
         gc.collect()
         self.spark._jvm.System.gc()  # Spark deletes a finished step's shuffle files once its plan is collected
         return self.spark.read.schema(df.schema).parquet(path)

@@ -5,8 +5,10 @@ widest dimension down to leaves of LEAF vectors; every node has the tight boundi
 inner product with a query from above. A query visits nodes best bound first and stops once the best open bound can't
 beat its k-th best score. That score is propagated: a first pass takes each query's best leaf in every shard, and the
 k-th best of those over all shards is where the second pass starts. Trees are written to the shared folder once. Queries
-are packed into blocks of QUERY_BLOCK; each pass is one job, in which every block meets every shard's tree by a join on
-the shard, row by row, so a task holds one block and one tree at a time. Blocks, floors and results stay in tables.
+are packed into blocks of QUERY_BLOCK; each pass is one job, in which every block meets every shard's tree by a product of
+the two tables: a task reads up to about TASK_SIDE blocks and as many trees from the shared folder, so that neither is
+broadcast nor repeated in a shuffle. It holds its blocks, one tree at a time, and for each of its queries the k best so
+far, whose k-th score counts for its other trees too. Blocks, floors and results stay in tables.
 
 A component beyond a long is the nearest long, and so is a score: ranks and ties follow from these.
 
@@ -29,12 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, one_row, small_batches, table
+from .common import Scratch, give_back, one_row, small_batches, table
 
 SCALE = 256
 SHARD_ROWS = 16384
 LEAF = 256
 QUERY_BLOCK = 4096
+TASK_SIDE = 16
 K = 5
 LONGS = (-(1 << 63), (1 << 63) - 1)
 FOUND = "block long, query_no long, query_id long, vec_id long, score long"
@@ -68,42 +71,45 @@ class Tree:
                 parts.append((starts, rows))
             i += 1
         perm = np.concatenate([r for _, r in sorted(parts, key=lambda p: p[0])])
-        self.ids, self.x = self.ids[perm], self.x[perm]
-        self.lo, self.hi = np.array(lo), np.array(hi)
+        self.ids, self.x = self.ids[perm], _narrow(self.x[perm])
+        self.lo, self.hi = _narrow(np.array(lo)), _narrow(np.array(hi))
         self.start, self.end, self.kids = np.array(start), np.array(end), np.array(kids)
         self.big = float(np.abs(self.x.astype(float)).max(initial=0))
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray, first_leaf: bool) -> list[list[tuple[int, int]]]:
         """For each query its best (score, vec_id) here, none under `least`; of its best leaf only, if first_leaf."""
-        exact = self.x.shape[1] * self.big * float(np.abs(q.astype(float)).max(initial=0)) < 2**52
-        kind = np.float64 if exact else object
+        most = self.x.shape[1] * self.big * float(np.abs(q.astype(float)).max(initial=0))
+        exact = most < 2**52
+        kind = np.float32 if most < 2**23 else np.float64 if exact else object
         x, qs = self.x.astype(kind), q.astype(kind)
         lo, hi = self.lo.astype(kind), self.hi.astype(kind)
         bound = np.maximum(qs, 0) @ hi.T + np.minimum(qs, 0) @ lo.T if q.shape[1] else np.zeros((len(q), len(self.lo)))
         if not exact:
             bound = np.clip(bound, *LONGS)
+        kids, start, end = self.kids.tolist(), self.start.tolist(), self.end.tolist()
         out: list[list[tuple[int, int]]] = []
         for i in range(len(q)):
             best: list[tuple[int, int]] = []  # a heap of (score, -vec_id): the worst first
             floor = int(least[i])
-            row = bound[i]
+            row = bound[i].tolist()
             open_ = [(-row[0], 0)]
             while open_:
                 b, node = heapq.heappop(open_)
                 if -b < floor:
                     break
-                kid = self.kids[node]
+                kid = kids[node]
                 if kid:
                     for c in (kid, kid + 1):
                         if row[c] >= floor:
-                            heapq.heappush(open_, (-row[c], int(c)))
+                            heapq.heappush(open_, (-row[c], c))
                     continue
-                a, z = self.start[node], self.end[node]
+                a, z = start[node], end[node]
                 scores = x[a:z] @ qs[i] if q.shape[1] else np.zeros(z - a)
                 if not exact:
                     scores = np.clip(scores, *LONGS)
                 ids = self.ids[a:z]
-                ok = np.flatnonzero((scores >= floor) & (ids != own[i]))
+                ok = np.flatnonzero(scores >= floor)
+                ok = ok[ids[ok] != own[i]]
                 if len(ok) > k:
                     ok = ok[scores[ok] >= np.partition(scores[ok], len(ok) - k)[len(ok) - k]]
                     ok = ok[np.lexsort((ids[ok], -scores[ok]))[:k]] if exact else np.array(sorted(ok, key=lambda j: (-scores[j], ids[j]))[:k])
@@ -121,6 +127,12 @@ class Tree:
         return out
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers in the fewest bytes that hold them all."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 def vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id, v (array<long>) of the vectors that take part."""
     ok = F.col("embedding").isNotNull() & F.forall("embedding", lambda c: F.coalesce((F.abs(c.cast("double")) < float("inf")), F.lit(False)))
@@ -145,7 +157,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(tree)]})
 
     dealt = data.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_shards)).alias("shard"))
-    trees = scratch.cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"), "trees")
+    trees = scratch.cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"), "trees", 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """block: its number; dim; and its queries' vec_ids and components."""
@@ -156,7 +168,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             nonlocal no
             ids, v = held.pop(dim)
             no += 1
-            return pa.RecordBatch.from_arrays([pa.array([no]), pa.array([dim], pa.int32()), one_row(np.array(ids, "<i8")), one_row(np.array(v, "<i8").ravel())], ["block", "dim", "ids", "q"])
+            return pa.RecordBatch.from_arrays([pa.array([no]), pa.array([dim], pa.int32()), one_row(np.array(ids, "<i8")), one_row(_narrow(np.array(v, "<i8")).ravel())], ["block", "dim", "ids", "q"])
 
         for batch in batches:
             for vec_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
@@ -169,10 +181,11 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             yield out(dim)
 
     tasks = max(1, min(n_shards, 2 * spark.sparkContext.defaultParallelism))
-    blocks = scratch.cut(queries.select("vec_id", "v").coalesce(tasks).mapInArrow(pack, "block long, dim int, ids binary, q binary"), "queries")
+    blocks = scratch.cut(queries.select("vec_id", "v").coalesce(tasks).mapInArrow(pack, "block long, dim int, ids binary, q binary"), "queries", 1)
     first = scratch.cut(_best(_visit(trees, blocks, n_shards, k, True), k).filter(F.col("rank") == k), "first")
     floors = first.groupBy("block").agg(F.collect_list(F.struct("query_no", "score")).alias("floors"))  # of the QUERY_BLOCK queries of a block
-    found = _visit(trees, blocks.join(floors, "block", "left"), n_shards, k, False)
+    floored = scratch.cut(blocks.join(floors.hint("merge"), "block", "left"), "floored", 1)
+    found = _visit(trees, floored, n_shards, k, False)
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -182,26 +195,53 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+class _Found:
+    """The best so far for the queries of a block, and the scores to beat."""
+
+    def __init__(self, ids: np.ndarray, floors: list[dict[str, int]]) -> None:
+        self.ids, self.floor = ids, np.full(len(ids), LONGS[0])
+        for f in floors:
+            self.floor[f["query_no"]] = f["score"]
+        self.no = self.vec_id = self.score = np.zeros(0, np.int64)
+
+    def add(self, got: list[list[tuple[int, int]]], k: int) -> None:
+        flat = np.array([(j, v, s) for j, best in enumerate(got) for s, v in best], np.int64).reshape(-1, 3)
+        no, vec_id, score = (np.concatenate([a, b]) for a, b in zip((self.no, self.vec_id, self.score), flat.T, strict=True))
+        order = np.lexsort((vec_id, ~score, no))  # ~: downwards, also of the least long
+        no, vec_id, score = no[order], vec_id[order], score[order]
+        rank = np.arange(len(no)) - np.searchsorted(no, no)
+        last = rank == k - 1
+        self.floor[no[last]] = np.maximum(self.floor[no[last]], score[last])
+        self.no, self.vec_id, self.score = no[rank < k], vec_id[rank < k], score[rank < k]
+
+
 def _visit(trees: DataFrame, blocks: DataFrame, n_shards: int, k: int, first: bool) -> DataFrame:
-    """Each shard's best for the queries of each block, from the block's floors on if it has some."""
-    low = LONGS[0]
+    """The best of each task's shards for the queries of each of its blocks, from the block's floors on if it has some."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Found] = {}
+        at, tree = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 dim, block = row["dim"].as_py(), row["block"].as_py()
-                ids = np.frombuffer(row["ids"].as_py(), "<i8")
-                q = np.frombuffer(row["q"].as_py(), "<i8").reshape(len(ids), dim)
-                floor = np.full(len(ids), low)
-                for f in (row["floors"].as_py() or ()) if not first else ():
-                    floor[f["query_no"]] = f["score"]
-                got = pickle.loads(row["tree"].as_buffer()).search(q, ids, k, floor, first)
-                flat = [(block, j, int(ids[j]), v, s) for j, best in enumerate(got) for s, v in best]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*flat, strict=True) if flat else ((),) * 5)], ["block", "query_no", "query_id", "vec_id", "score"])
-
-    every = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    return every.join(trees, ["dim", "shard"]).mapInArrow(visit, FOUND)
+                if at != (dim, row["shard"].as_py()):  # a tree meets all blocks of the task before the next comes
+                    at, tree = (dim, row["shard"].as_py()), pickle.loads(row["tree"].as_buffer())
+                if block not in held:
+                    held[block] = _Found(np.frombuffer(row["ids"].as_py(), "<i8"), [] if first else row["floors"].as_py() or [])
+                best, q = held[block], row["q"].as_buffer()
+                q = np.frombuffer(q, f"<i{q.size // (len(best.ids) * dim)}" if dim else "<i8").reshape(len(best.ids), dim)
+                best.add(tree.search(q, best.ids, k, best.floor, first), k)
+        for block in list(held):
+            best = held.pop(block)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(best.no), block), best.no, best.ids[best.no], best.vec_id, best.score)], ["block", "query_no", "query_id", "vec_id", "score"])
+        give_back()
+
+    few = max(1, -(-blocks.count() // TASK_SIDE))
+    many = max(1, -(-4 * trees.sparkSession.sparkContext.defaultParallelism // few), -(-n_shards // TASK_SIDE))
+    # The product streams the trees past the blocks of a task; the hint keeps Spark from broadcasting either by its size on disk.
+    every = trees.coalesce(many).hint("shuffle_replicate_nl").join(blocks.coalesce(few), "dim")
+    return every.mapInArrow(visit, FOUND)
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

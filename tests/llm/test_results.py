@@ -562,6 +562,30 @@ def test_top_k_in_blocks_and_shards(spark, monkeypatch):
     assert got == sorted(want) and len(searches) == 2 and searches[0][1].count() >= 3
 
 
+def test_top_k_neither_broadcasts_nor_shuffles_blocks_and_trees(spark, monkeypatch):
+    """Small on disk, the query blocks were broadcast once for each shard; components of 2, 4 and 8 bytes, and ties over shards and tasks."""
+    for name, value in (("QUERY_BLOCK", 5), ("SHARD_ROWS", 40), ("TASK_SIDE", 2)):
+        monkeypatch.setattr(kdtree, name, value, raising=False)
+    visits, inner = [], kdtree._visit
+    monkeypatch.setattr(kdtree, "_visit", lambda *a: visits.append(inner(*a)) or visits[-1])
+    g = np.random.default_rng(11)
+    for scale in (90, 10**5, 10**11):
+        x = np.repeat((g.standard_normal((150, 4)) * scale).astype(np.int64), 4, 0)[g.permutation(600)]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<long>").repartition(6)
+        got = sorted(tuple(r) for r in kdtree.top_k(df, df.filter("vec_id % 20 = 0")).collect())
+        want = []
+        for q in range(0, 600, 20):
+            exact = [sum(a * b for a, b in zip(v, x[q].tolist(), strict=True)) for v in x.tolist()]
+            best = sorted((-max(min(s, (1 << 63) - 1), -(1 << 63)), j) for j, s in enumerate(exact) if j != q)[:5]
+            want += [(q, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+        assert got == sorted(want)
+    assert len(visits) == 6
+    for found in visits:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Broadcast" not in plan and "Exchange" not in plan
+        assert found.rdd.getNumPartitions() > 1
+
+
 def test_pipeline(spark, documents):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     scratch = Scratch(spark)
