@@ -4,8 +4,9 @@ Vectors are dealt into shards by a hash of their row and turned into integers. A
 widest dimension down to leaves of LEAF vectors; every node has the tight bounding box of its vectors, which bounds the
 inner product with a query from above. A query visits nodes best bound first and stops once the best open bound can't
 beat its k-th best score. That score is propagated: a first pass takes each query's best leaf in every shard, and the
-k-th best of those over all shards is where the second pass starts. Trees are written to the shared folder once. Queries
-are packed into blocks of QUERY_BLOCK; each pass is one job, in which every block meets every shard's tree by a product of
+k-th best of those over all shards is where the second pass starts. There a leaf whose box reaches the floor of some
+queries of a block is scored for all of these at once, and its best score is its bound; a query then opens only leaves that
+hold one of its results. Trees are written to the shared folder once. Queries are packed into blocks of QUERY_BLOCK; each pass is one job, in which every block meets every shard's tree by a product of
 the two tables: a task reads up to about TASK_SIDE blocks and as many trees from the shared folder, so that neither is
 broadcast nor repeated in a shuffle. It holds its blocks, one tree at a time, and for each of its queries the k best so
 far, whose k-th score counts for its other trees too. Blocks, floors and results stay in tables.
@@ -37,6 +38,7 @@ SCALE = 256
 SHARD_ROWS = 16384
 LEAF = 256
 QUERY_BLOCK = 4096
+SCORES = 1 << 18
 TASK_SIDE = 16
 K = 5
 LONGS = (-(1 << 63), (1 << 63) - 1)
@@ -76,6 +78,20 @@ class Tree:
         self.start, self.end, self.kids = np.array(start), np.array(end), np.array(kids)
         self.big = float(np.abs(self.x.astype(float)).max(initial=0))
 
+    def _tighter(self, bound: np.ndarray, qs: np.ndarray, x: np.ndarray, least: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """Bounds in which a node has the better of its two children's, and a leaf whose box reaches `least` the best score in it, for the queries in `scored`. These are multiplied with a leaf at once."""
+        by = np.ascontiguousarray(bound.T)
+        for node in range(len(by) - 1, -1, -1):  # children come after their parents
+            if kid := self.kids[node]:
+                np.maximum(by[kid], by[kid + 1], out=by[node])
+                continue
+            rows = np.flatnonzero(scored & (by[node] >= least))
+            leaf = x[self.start[node] : self.end[node]]
+            step = max(1, SCORES // len(leaf))
+            for a in range(0, len(rows), step):
+                by[node, rows[a : a + step]] = (qs[rows[a : a + step]] @ leaf.T).max(1)
+        return np.ascontiguousarray(by.T)
+
     def search(self, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray, first_leaf: bool) -> list[list[tuple[int, int]]]:
         """For each query its best (score, vec_id) here, none under `least`; of its best leaf only, if first_leaf."""
         most = self.x.shape[1] * self.big * float(np.abs(q.astype(float)).max(initial=0))
@@ -86,6 +102,8 @@ class Tree:
         bound = np.maximum(qs, 0) @ hi.T + np.minimum(qs, 0) @ lo.T if q.shape[1] else np.zeros((len(q), len(self.lo)))
         if not exact:
             bound = np.clip(bound, *LONGS)
+        else:
+            bound = self._tighter(bound, qs, x, least, (least > LONGS[0]) & (not first_leaf))
         kids, start, end = self.kids.tolist(), self.start.tolist(), self.end.tolist()
         out: list[list[tuple[int, int]]] = []
         for i in range(len(q)):

@@ -562,6 +562,29 @@ def test_top_k_in_blocks_and_shards(spark, monkeypatch):
     assert got == sorted(want) and len(searches) == 2 and searches[0][1].count() >= 3
 
 
+def test_top_k_scores_a_leaf_for_all_its_queries_at_once(monkeypatch):
+    """In 64 dimensions boxes exclude nothing, and every query used to open every leaf by itself."""
+    monkeypatch.setattr(kdtree, "LEAF", 32)
+    monkeypatch.setattr(kdtree, "SCORES", 100, raising=False)
+    g = np.random.default_rng(12)
+    for scale in (30, 10**4):  # scores of up to 2^23, and over
+        x = (g.standard_normal((2000, 64)) * scale).astype(np.int64)
+        x[1000:1100] = x[0]  # a leaf of more than LEAF equal vectors
+        tree = kdtree.Tree(np.arange(2000), x)
+        own = np.arange(0, 2000, 20)
+        scores = x[own] @ x.T
+        scores[np.arange(100), own] = -(1 << 60)
+        want = [sorted(((int(s[j]), j) for j in range(2000)), key=lambda p: (-p[0], p[1]))[:5] for s in scores]
+        floor = np.array([w[-1][0] for w in want])
+        floor[::7] = kdtree.LONGS[0]
+        opened, pop = [], kdtree.heapq.heappop
+        monkeypatch.setattr(kdtree.heapq, "heappop", lambda h, pop=pop, opened=opened: opened.append(1) or pop(h))
+        got = tree.search(x[own], own, 5, floor, False)
+        assert [sorted(b, key=lambda p: (-p[0], p[1])) for b in got] == want
+        assert len(opened) < 100 * len(tree.kids) * 0.6
+        monkeypatch.setattr(kdtree.heapq, "heappop", pop)
+
+
 def test_top_k_neither_broadcasts_nor_shuffles_blocks_and_trees(spark, monkeypatch):
     """Small on disk, the query blocks were broadcast once for each shard; components of 2, 4 and 8 bytes, and ties over shards and tasks."""
     for name, value in (("QUERY_BLOCK", 5), ("SHARD_ROWS", 40), ("TASK_SIDE", 2)):
