@@ -1,15 +1,17 @@
 """Exact top-k search by inner product: a KD-tree for each shard of the vectors.
 
-Vectors are dealt into shards by a hash of their row and turned into integers. A shard's tree splits at medians of the
+Vectors are turned into integers. Of equal ones only the rows of the k + 1 smallest vec_ids can be among the k best of any
+query, as they score alike; the others are left out of the search. The rest are dealt into shards by a hash. A shard's tree splits at medians of the
 widest dimension down to leaves of LEAF vectors; every node has the tight bounding box of its vectors, which bounds the
 inner product with a query from above. A query visits nodes best bound first and stops once the best open bound can't
 beat its k-th best score. That score is propagated: a first pass takes each query's best leaf in every shard, and the
 k-th best of those over all shards is where the second pass starts. There a leaf whose box reaches the floor of some
-queries of a block is scored for all of these at once, and its best score is its bound; a query then opens only leaves that
-hold one of its results. Trees are written to the shared folder once. Queries are packed into blocks of QUERY_BLOCK; each pass is one job, in which every block meets every shard's tree by a product of
-the two tables: a task reads up to about TASK_SIDE blocks and as many trees from the shared folder, so that neither is
-broadcast nor repeated in a shuffle. It holds its blocks, one tree at a time, and for each of its queries the k best so
-far, whose k-th score counts for its other trees too. Blocks, floors and results stay in tables.
+queries of a block is scored for all of these at once, and its best score is its bound; a query then opens only leaves
+that may hold one of its results. Trees are written to the shared folder once. Queries are packed into blocks of
+QUERY_BLOCK; each pass is one job, in which every block meets every shard's tree by a product of the two tables: a task
+reads up to about TASK_SIDE blocks and as many trees from the shared folder, so that neither is broadcast nor repeated in
+a shuffle. It holds its blocks, one tree at a time, and for each of its queries the k best so far, whose k-th score counts
+for its other trees too. Blocks, floors and results stay in tables.
 
 A component beyond a long is the nearest long, and so is a score: ranks and ties follow from these.
 
@@ -40,6 +42,7 @@ LEAF = 256
 QUERY_BLOCK = 4096
 SCORES = 1 << 18
 TASK_SIDE = 16
+BATCH_BYTES = 1 << 23
 K = 5
 LONGS = (-(1 << 63), (1 << 63) - 1)
 FOUND = "block long, query_no long, query_id long, vec_id long, score long"
@@ -162,13 +165,20 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), np.int64).reshape(len(col), -1)
 
 
+def _apart(data: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors the rows of the k + 1 smallest vec_ids, one of which may be the query's own; every task keeps only these before the shuffle."""
+    order = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    return data.select("vec_id", "v", F.dense_rank().over(order).alias("no")).filter(F.col("no") <= k + 1).drop("no")
+
+
 def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """From vec_id, v of the candidates and of the queries: query_id, rank, vec_id, score."""
     spark = data.sparkSession
     small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # a row of a pass holds a tree and a block
     scratch = Scratch(spark)
-    n = data.count()
-    n_shards = max(1, -(-n // SHARD_ROWS))
+    data = scratch.cut(_apart(data, k), "vectors")
+    n_shards = max(1, -(-data.count() // SHARD_ROWS))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = Tree(pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["v"]))
@@ -176,6 +186,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     dealt = data.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_shards)).alias("shard"))
     trees = scratch.cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"), "trees", 1)
+    scratch.drop("vectors")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """block: its number; dim; and its queries' vec_ids and components."""

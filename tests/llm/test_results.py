@@ -562,6 +562,27 @@ def test_top_k_in_blocks_and_shards(spark, monkeypatch):
     assert got == sorted(want) and len(searches) == 2 and searches[0][1].count() >= 3
 
 
+def test_top_k_searches_few_of_many_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 100)
+    monkeypatch.setattr(kdtree, "QUERY_BLOCK", 16)
+    visits, inner = [], kdtree._visit
+    monkeypatch.setattr(kdtree, "_visit", lambda *a: visits.append(a) or inner(*a))
+    g = np.random.default_rng(13)
+    x = (g.standard_normal((20, 3)) * 90).astype(np.int64)
+    rows = [(int(i), x[j % 20].tolist()) for j, i in enumerate(g.permutation(3000))]
+    queries = [(i, v) for i, v in rows if i % 300 == 0]
+    rows += [(0, x[3].tolist())] * 8 + [(5, queries[0][1])] * 3  # repeated rows are as many candidates, but none for their own vec_id
+    queries.append((-1, x[3].tolist()))
+    df, few = (spark.createDataFrame(r, "vec_id long, v array<long>") for r in (rows, queries))
+    got = sorted(tuple(r) for r in kdtree.top_k(df, few).collect())
+    want = []
+    for q, v in queries:
+        best = sorted((-sum(a * b for a, b in zip(u, v, strict=True)), j) for j, u in rows if j != q)[:5]
+        want += [(q, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert [a[2] for a in visits] == [2, 2]  # shards: 20 x 6 vec_ids and some rows that share one, where there were 31
+
+
 def test_top_k_scores_a_leaf_for_all_its_queries_at_once(monkeypatch):
     """In 64 dimensions boxes exclude nothing, and every query used to open every leaf by itself."""
     monkeypatch.setattr(kdtree, "LEAF", 32)
